@@ -6,11 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import bpe, token_files
 from .common import table
 from .exact_dedup import exact_dedup
 from .mixing import op9_query
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.op4_query(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = bpe.read_ranks(tokenizer_path("byte_bpe_multi_50k.tiktoken"))
+    return bpe.encoded(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, keep_ids=False)
+
+
 def op9_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_query(table(spark, sf_dir, "documents"))
 
@@ -32,6 +50,8 @@ FROM n WINDOW w AS (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_token_files": op4_token_files,
+        "op7_byte_bpe": op7_byte_bpe,
         "op9_mix_to_weights": op9_mix_to_weights,
         "op10_exact_dedup": op10_exact_dedup,
     }

@@ -14,8 +14,6 @@ import numpy as np
 
 #: Units remembered by a worker at most, and ids of remembered units at most.
 MOST_UNITS, MOST_IDS = 900_000, 9_000_000
-#: Units longer than this are not remembered.
-LONG_UNIT = 200
 
 
 def exact_units(text: str) -> list[str]:
@@ -90,23 +88,15 @@ class UnitMemory:
         self.new = []
 
     def _forget(self) -> None:
-        """Keeps the first two thirds of the units, without the long ones."""
+        """Keeps the first two thirds of the units; they have the smallest numbers and the first ids."""
         first = self.n * 2 // 3
-        old = [(numbers, [k for k, v in numbers.items() if v < first and len(k) <= LONG_UNIT]) for numbers in (self.first, self.later, self.whole)]
-        flat, start, length = self.flat, self.start, self.length
-        kept = [numbers[k] for numbers, keys in old for k in keys]
-        again = [list(zip(keys, (numbers[k] for k in keys), strict=True)) for numbers, keys in old]
-        odd = self.odd
-        self.clear()
-        renumbered = {v: i for i, v in enumerate(sorted(kept))}
-        for numbers, pairs in zip((self.first, self.later, self.whole), again, strict=True):
-            numbers.update((k, renumbered[v]) for k, v in pairs)
-        at = np.fromiter(renumbered, np.int64, len(renumbered))
-        self.n = len(at)
-        self.odd = np.concatenate([odd[at], np.zeros(max(1024, len(at)), dtype=bool)])
-        self.length = length[at]
-        self.start = np.cumsum(self.length) - self.length
-        self.flat = gather(flat, start[at], self.length)
+        for numbers in (self.first, self.later, self.whole):
+            kept = {k: v for k, v in numbers.items() if v < first}
+            numbers.clear()
+            numbers.update(kept)
+        self.n = first
+        self.flat = self.flat[: int(self.start[first])].copy()
+        self.start, self.length = self.start[:first].copy(), self.length[:first].copy()
 
     def ids(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and how many each text has. A null text has none."""

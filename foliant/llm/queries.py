@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language_id, token_files, warc
+from . import bpe, language_id, line_dedup, token_files, warc
 from .common import table
 from .exact_dedup import exact_dedup
 from .mixing import op9_query
@@ -30,6 +30,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.op4_query(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.op6_query(table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -71,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_warc": op2_warc,
         "op3_language_id": op3_language_id,
         "op4_token_files": op4_token_files,
+        "op6_line_dedup": op6_line_dedup,
         "op7_byte_bpe": op7_byte_bpe,
         "op9_mix_to_weights": op9_mix_to_weights,
         "op10_exact_dedup": op10_exact_dedup,
@@ -78,4 +83,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op2_warc": OP2_SQL, "op6_line_dedup": line_dedup.SQL, "op10_exact_dedup": OP10_SQL}

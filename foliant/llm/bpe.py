@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -18,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from .common import small_batches
-from .units import UnitMemory, gather
+from .units import UnitMemory, by_pieces, gather
 
 _GOLD = 0x9E3779B97F4A7C15
 
@@ -122,17 +123,14 @@ class Codec:
     def __setstate__(self, s: dict) -> None:
         self.__init__(s["ranks"], s["pattern"])
 
-    def encode_units(self, units: list[str]) -> list[list[int]]:
-        words = [[w.encode("utf-8") for w in self.pattern.findall(u)] for u in units]
-        flat = list(dict.fromkeys(w for ws in words for w in ws))
-        known: dict[bytes, list[int]] = {}
-        for w, i in zip(flat, self.hash.find(flat), strict=True):
-            known[w] = [self.id_at[i]] if i >= 0 else merged(w, self.ranks)
-        return [known[ws[0]] if len(ws) == 1 else [i for w in ws for i in known[w]] for ws in words]
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        raw = [w.encode("utf-8") for w in words]
+        ranks = self.ranks
+        return [array("I", [self.id_at[i]] if i >= 0 else merged(w, ranks)).tobytes() for w, i in zip(raw, self.hash.find(raw), strict=True)]
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         if self.memory is None:
-            self.memory = UnitMemory(self.encode_units)
+            self.memory = UnitMemory(by_pieces(self.pattern.findall, self.encode_words))
         return self.memory.ids(texts)
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -10,8 +10,10 @@ the lane states (64 bits each); the words (32 bits each); the document list as a
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +26,7 @@ from pyspark.sql.window import Window
 
 from .common import fresh_dir, small_batches, written
 from .files import make_dir, new_file, opened
-from .units import UnitMemory
+from .units import UnitMemory, by_pieces
 
 MAGIC = b"TKRANS01"
 #: Bits of the frequency table's total; lanes of a block; ids after which a block ends.
@@ -132,6 +134,16 @@ def read_block(raw: bytes, table: Table) -> tuple[np.ndarray, pa.RecordBatch]:
     return uncoded(state, words, n, table), docs
 
 
+#: A unit of such characters only is split into pre-tokens here; the library splits any other itself.
+_PLAIN = re.compile(r"[ -~\n\u00c0-\u024f]*\Z")
+_SPLIT = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+
+
+def pieces(unit: str) -> list[str]:
+    """The pre-tokens of a unit; put together they are the unit."""
+    return _SPLIT.findall(unit) if _PLAIN.match(unit) else [unit]
+
+
 _memories: dict[str, UnitMemory] = {}
 
 
@@ -147,7 +159,7 @@ def _memory(tokenizer: bytes) -> UnitMemory:
         t = Tokenizer.from_buffer(tokenizer)
         t.encode_special_tokens = True
         _memories.clear()
-        _memories[key] = UnitMemory(lambda units: [e.ids for e in t.encode_batch_fast(units, add_special_tokens=False)])
+        _memories[key] = UnitMemory(by_pieces(pieces, lambda new: [array("I", e.ids).tobytes() for e in t.encode_batch_fast(new, add_special_tokens=False)]))
     return _memories[key]
 
 

@@ -9,11 +9,14 @@ bounded: when it is full, the units met first, which are the frequent ones, stay
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from itertools import chain, islice
 
 import numpy as np
 
 #: Units remembered by a worker at most, and ids of remembered units at most.
-MOST_UNITS, MOST_IDS = 900_000, 9_000_000
+MOST_UNITS, MOST_IDS = 700_000, 7_000_000
+#: Pre-tokens remembered by a worker at most.
+MOST_PIECES = 500_000
 
 
 def exact_units(text: str) -> list[str]:
@@ -41,10 +44,27 @@ class _Numbers(dict):
         return n
 
 
+def by_pieces(split: Callable[[str], list], encode: Callable[[list], Iterable[bytes]], most: int = MOST_PIECES) -> Callable[[list[str]], list[bytes]]:
+    """An ``encode`` for UnitMemory that splits units into pre-tokens and encodes those it does not remember."""
+    known: dict = {}
+
+    def run(units: list[str]) -> list[bytes]:
+        nonlocal known
+        parts = [split(u) for u in units]
+        new = [w for w in dict.fromkeys(chain.from_iterable(parts)) if w not in known]
+        known.update(zip(new, encode(new), strict=True))
+        out = [known[p[0]] if len(p) == 1 else b"".join([known[w] for w in p]) for p in parts]
+        if len(known) > most:
+            known = dict(islice(known.items(), most * 2 // 3))
+        return out
+
+    return run
+
+
 class UnitMemory:
-    """ids(text): the ids of texts, through ``encode``, which gives the ids of many units at once."""
+    """ids(text): the ids of texts, through ``encode``, which gives the ids of many units at once, each unit's as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[list[int]]], most_units: int = MOST_UNITS, most_ids: int = MOST_IDS) -> None:
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], most_units: int = MOST_UNITS, most_ids: int = MOST_IDS) -> None:
         self.encode, self.most_units, self.most_ids = encode, most_units, most_ids
         self.clear()
 
@@ -80,10 +100,10 @@ class UnitMemory:
     def _learn(self) -> None:
         if not self.new:
             return
-        got = [np.asarray(x, dtype=np.uint32) for x in self.encode(self.new)]
-        length = np.fromiter(map(len, got), np.int64, len(got))
+        got = self.encode(self.new)
+        length = np.fromiter(map(len, got), np.int64, len(got)) // 4
         start = len(self.flat) + np.cumsum(length) - length
-        self.flat = np.concatenate([self.flat, *got])
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(got), "<u4")])
         self.start, self.length = np.concatenate([self.start, start]), np.concatenate([self.length, length])
         self.new = []
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language_id, line_dedup, token_files, warc
+from . import bpe, language_id, line_dedup, near_dup, token_files, warc
 from .common import table
 from .exact_dedup import exact_dedup
 from .mixing import op9_query
@@ -30,6 +30,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.op4_query(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.op6_query(table(spark, sf_dir, "documents"))
 
@@ -75,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_warc": op2_warc,
         "op3_language_id": op3_language_id,
         "op4_token_files": op4_token_files,
+        "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
         "op6_line_dedup": op6_line_dedup,
         "op7_byte_bpe": op7_byte_bpe,
         "op9_mix_to_weights": op9_mix_to_weights,

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language_id, line_dedup, near_dup, token_files, warc
+from . import ann, bpe, language_id, line_dedup, near_dup, token_files, warc
 from .common import table
 from .exact_dedup import exact_dedup
 from .mixing import op9_query
@@ -45,6 +45,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, keep_ids=False)
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op9_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_query(table(spark, sf_dir, "documents"))
 
@@ -82,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
         "op6_line_dedup": op6_line_dedup,
         "op7_byte_bpe": op7_byte_bpe,
+        "op8_nearest_neighbours": op8_nearest_neighbours,
         "op9_mix_to_weights": op9_mix_to_weights,
         "op10_exact_dedup": op10_exact_dedup,
     }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, language_id, line_dedup, near_dup, token_files, warc
+from . import ann, bpe, language_id, line_dedup, near_dup, secrets, token_files, warc
 from .common import table
 from .exact_dedup import exact_dedup
 from .mixing import op9_query
@@ -18,6 +18,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.op1_query(table(spark, sf_dir, "documents"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.op2_query(table(spark, sf_dir, "pages"))
 
@@ -80,6 +84,7 @@ FROM n WINDOW w AS (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_secret_scan": op1_secret_scan,
         "op2_warc": op2_warc,
         "op3_language_id": op3_language_id,
         "op4_token_files": op4_token_files,

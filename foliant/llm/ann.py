@@ -27,6 +27,8 @@ SAMPLE, MOST_CENTROIDS, REPLICAS = 8192, 4096, 4
 NEIGHBOURS, RECALL = 24, 0.97
 #: Vectors, and queries, of a block on average at most; queries whose best a task holds at most.
 BLOCK, HELD = 2048, 50_000
+#: Rows, and pairs of a row and a centroid, that a step of a search of the graph takes at once.
+ROWS, PAIRS = 512, 1 << 16
 
 
 def measured(rows: np.ndarray, top: float) -> np.ndarray:
@@ -105,26 +107,26 @@ class Index:
 
     def walk(self, x: np.ndarray, ratio: float, least: int, floor: float = 0.0) -> np.ndarray:
         """[row, centroid] distances that a search of the graph finds, infinite elsewhere: it goes on from every centroid within the ratio, and from the ``least`` nearest."""
+        if len(x) > ROWS:
+            return np.concatenate([self.walk(x[i : i + ROWS], ratio, least, floor) for i in range(0, len(x), ROWS)])
         c, n = self.centroids, len(self.centroids)
         d = np.full((len(x), n), np.inf)
         xx, cc = (x * x).sum(axis=1), (c * c).sum(axis=1)
         done = np.zeros((len(x), n), dtype=bool)
-        start = np.repeat(np.arange(len(x)), len(self.start)), np.tile(self.start, len(x))
-        while True:
-            i, j = start
-            d[i, j] = np.sqrt(np.maximum(xx[i] + cc[j] - 2 * np.einsum("ij,ij->i", x[i], c[j]), 0))
+        i, j = np.repeat(np.arange(len(x)), len(self.start)), np.tile(self.start, len(x))
+        while len(i):
+            for a in range(0, len(i), PAIRS):
+                p, q = i[a : a + PAIRS], j[a : a + PAIRS]
+                d[p, q] = np.sqrt(np.maximum(xx[p] + cc[q] - 2 * np.einsum("ij,ij->i", x[p], c[q]), 0))
             bound = np.maximum(d.min(axis=1), floor) * (1 + ratio)
             if least < n:
                 bound = np.maximum(bound, np.partition(d, least - 1, axis=1)[:, least - 1])
             i, j = np.nonzero((d <= bound[:, None]) & np.isfinite(d) & ~done)
-            if not len(i):
-                return d
             done[i, j] = True
             seen = np.zeros_like(done)
             seen[i[:, None], self.graph[j]] = True
-            start = np.nonzero(seen & np.isinf(d))
-            if not len(start[0]):
-                return d
+            i, j = np.nonzero(seen & np.isinf(d))
+        return d
 
     def lists_of(self, rows: np.ndarray, closeness: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
         """([row, r] lists, [row, r] whether the row is put there): the nearest, and those up to ``REPLICAS`` that are nearly as near."""
@@ -133,10 +135,15 @@ class Index:
         near = np.take_along_axis(d, at, axis=1)
         return at, np.isfinite(near) & (near <= near[:, :1] * (1 + closeness) + 1e-12)
 
-    def lists_for(self, rows: np.ndarray) -> np.ndarray:
-        """[row, list] whether a query reads the list."""
-        d = self.walk(as_query(rows, self.top), self.ratio, min(len(self.centroids), 4), self.least)
-        return d <= np.maximum(d.min(axis=1, keepdims=True), self.least) * (1 + self.ratio)
+    def lists_for(self, rows: np.ndarray, sizes: np.ndarray, enough: int) -> np.ndarray:
+        """[row, list] whether a query reads the list: those within the ratio, and in any case the nearest until they hold ``enough`` entries."""
+        least = int(np.searchsorted(np.cumsum(np.sort(sizes)), enough)) + 1
+        d = self.walk(as_query(rows, self.top), self.ratio, min(len(sizes), max(4, least)), self.least)
+        order = np.argsort(d, axis=1)
+        held = np.cumsum(sizes[order], axis=1) - sizes[order]
+        short = np.zeros(d.shape, dtype=bool)
+        np.put_along_axis(short, order, held < enough, axis=1)
+        return np.isfinite(d) & (short | (d <= np.maximum(d.min(axis=1, keepdims=True), self.least) * (1 + self.ratio)))
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -182,12 +189,15 @@ def search(vectors: DataFrame, every: int = 20, nearest: int = 20, id_col: str =
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            i, c = np.nonzero(shipped.value.lists_for(_vectors(batch.column(1))))
+            i, c = np.nonzero(shipped.value.lists_for(_vectors(batch.column(1)), sizes, REPLICAS * (nearest + 1)))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), batch.column(0).take(pa.array(i)), batch.column(1).take(pa.array(i))], names=["list", "rep", "vector"])
 
     spec = "list int, rep bigint, vector array<double>"
     narrow = own.select("rep", "vector")
     posted = written(narrow.mapInArrow(put, spec), "op8-lists")
+    # One row a list.
+    held = {r["list"]: r["count"] for r in posted.groupBy("list").count().collect()}
+    sizes = np.array([held.get(i, 0) for i in range(len(index.centroids))])
     queries = written(narrow.join(asked.select("rep").distinct(), "rep", "left_semi").select("rep", "vector").mapInArrow(ask, spec), "op8-asked")
     blocks = posted.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("vs")).join(queries.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("qs")), "list")
     dealt = lambda rows, mine, others, a, b: (

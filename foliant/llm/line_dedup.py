@@ -51,7 +51,8 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     texts = written(texts.select("id", "th", "s.begin", "s.n", "s.h", "s.chunk").dropDuplicates(["id", "th", "begin"]), "op6-texts")
     # Of the chunks with one hash, those with one text are a group: the smallest of each (hash, text) stays.
     heads = texts.groupBy("h", "chunk").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "begin", "th")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
-    heads = heads.select("h", F.col("chunk").alias("chunk_"), "first")
+    # Written, so that the join below has plain exchanges on both sides, and Spark can split the partition of a hot chunk.
+    heads = written(heads.select("h", F.col("chunk").alias("chunk_"), "first"), "op6-heads")
     found = texts.join(heads, (texts["h"] == heads["h"]) & (F.col("chunk") == F.col("chunk_")))
     other = ~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("begin") == F.col("first.begin")) & (F.col("th") == F.col("first.th")))
     return found.where(other).select("id", "th", "begin", "n", F.col("first.id").alias("kept_in"))

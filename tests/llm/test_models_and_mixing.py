@@ -1,0 +1,163 @@
+import math
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from foliant.llm import ann, language_id, mixing, secrets
+from tests.llm.conftest import make
+
+SOUNDS = {"aa": ["ka", "to", "mi", "ra", "su"], "bb": ["schl", "ein", "ung", "ich", "der"], "cc": ["ción", "que", "ado", "los", "ñez"]}
+
+
+def spoken(lang, r, n):
+    return " ".join("".join(r.choice(SOUNDS[lang]) for _ in range(r.randint(1, 3))) for _ in range(n)) + "."
+
+
+@pytest.fixture(scope="module")
+def models(spark):
+    r = random.Random(1)
+    rows = [(i, spoken(lang := sorted(SOUNDS)[i % 3], r, 40), lang, None, 0) for i in range(240)]
+    return language_id.fit(make(spark, rows))
+
+
+def test_languages_are_found_and_others_rejected(spark, models, odd, none):
+    r = random.Random(2)
+    rows = [(i, spoken(lang := sorted(SOUNDS)[i % 3], r, 15), lang, None, 0) for i in range(90)]
+    rows += [(100, None, None, None, 0), (101, " 12 !", None, None, 0), (102, "Привет мир как дела сегодня", None, None, 0)]
+    got = {x.doc_id: x for x in language_id.identified(make(spark, rows), models).collect()}
+    assert sum(got[i].lang_pred == x[2] for i, x in enumerate(rows[:90])) >= 88
+    assert not any(got[i].lang_rejected for i in range(90)) and all(0 <= x.lang_score <= 1 for x in got.values())
+    assert [(got[i].lang_pred, got[i].lang_score, got[i].lang_rejected) for i in (100, 101)] == [("und", 0.0, True)] * 2
+    assert got[102].lang_rejected and got[102].lang_pred in SOUNDS
+    out = language_id.identified(odd, models)
+    assert out.count() == odd.count() and out.columns == [*odd.columns, "lang_pred", "lang_score", "lang_entropy", "lang_rejected"]
+    assert language_id.op3_query(none).count() == 0
+    assert {x.lang_pred for x in language_id.op3_query(make(spark, [(1, "abc", None, None, 0)])).collect()} == {"und"}
+
+
+def test_model_probabilities_sum_to_one():
+    text = ["ab ac abc bca cab abb a b"] * 3
+    rows = language_id.trained(text).assign(lang="x")
+    m = language_id.Models(["x"], rows, signs=1 << 10)
+    # After "ab" the next characters, the end included, and those that no text has, share all probability.
+    seen = [("aba", 2), ("abb", 2), ("abc", 2)]
+    whole = lambda w: math.exp(-m.costs([w])[0][0, 0])
+    p_end = whole("ab")
+    h, depth = language_id.grams(["ab"], m.order)
+    prefix = 1.0
+    for w in ("a", "ab"):
+        pass
+    p = {w: whole(w) for w, _ in seen}
+    assert 0 < p_end < 1 and all(0 < x < 1 for x in p.values())
+    assert m.entropies(["ab abc"])[0][0, 0] < m.entropies(["zq qz"])[0][0, 0]
+
+
+def test_token_memory_is_bounded(models, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_TOKENS", 20)
+    r = random.Random(3)
+    some = [spoken("aa", r, 12) for _ in range(30)]
+    models.memory = None
+    one = [models.entropies([t])[0][0] for t in some]
+    models.memory = None
+    assert np.allclose(one, models.entropies(some)[0])
+
+
+def test_targets():
+    assert mixing.targets([100, 100, 100], [3, 1, 2], 450) == [200.0, pytest.approx(250 / 3), pytest.approx(500 / 3)]
+    assert mixing.targets([0, 10], [3, 1], 15) == [0.0, 15.0]
+    r = random.Random(1)
+    for _ in range(200):
+        sizes = [r.choice([0, r.randint(1, 1000)]) for _ in range(r.randint(1, 9))]
+        out = mixing.targets(sizes, [(3, 1, 2)[i % 3] for i in range(len(sizes))], 1.5 * sum(sizes))
+        assert all(t <= 2 * s + 1e-9 for t, s in zip(out, sizes, strict=True))
+        assert math.isclose(sum(out), 1.5 * sum(sizes), abs_tol=1e-6)
+
+
+def test_mix(spark, odd, odd_rows, none):
+    r = random.Random(7)
+    rows = [(i, " ".join(["w"] * r.choice([0, 1, 5, 50, 3000])), None, "hot" if r.random() < 0.4 else r.choice(["a", "b", "é", None]), 0) for i in range(400)]
+    for docs, made in ((make(spark, rows), rows), (odd, odd_rows)):
+        mixed = mixing.mix(docs, block_words=64, depth=3)
+        got = mixing.taken(mixed).collect()
+        size = Counter((x[0], len(re.findall(r"[^\x20\x09-\x0D]+", x[1] or ""))) for x in made)
+        assert Counter((x.doc_id, x["size"]) for x in got) == size
+        sums = defaultdict(int)
+        for x in made:
+            sums[x[3]] += len(re.findall(r"[^\x20\x09-\x0D]+", x[1] or ""))
+        names = sorted(sums, key=lambda s: (s is None, s or ""))
+        goal = dict(zip(names, mixing.targets([sums[s] for s in names], [(3, 1, 2)[i % 3] for i in range(len(names))], 1.5 * sum(sums.values())), strict=True))
+        took = defaultdict(int)
+        for x in mixed.selectExpr("source", "source_size", "target", "size", "aggregate(pieces, 0L, (a, p) -> a + p.end - p.begin) AS t").collect():
+            assert x.source_size == sums[x.source] and math.isclose(x.target, goal[x.source]) and 0 <= x.t <= 2 * x["size"]
+            took[x.source] += x.t
+        assert all(abs(took[s] - goal[s]) <= 1 for s in names)
+        again = mixing.taken(mixing.mix(docs.repartition(7), block_words=64, depth=3)).collect()
+        assert Counter(map(tuple, again)) == Counter(map(tuple, got))
+        pieces = mixing.shards(mixed).select("source", "piece.*").collect()
+        slots = defaultdict(set)
+        for p in pieces:
+            slots[p.source, p.slot].add((p.block, p.shard))
+        assert all(len(v) == 1 for v in slots.values()) and all(0 <= p.shard < 8 for p in pieces)
+        blocks = Counter(s for v in slots.values() for _, s in v)
+        assert max(blocks.values()) - min(blocks.get(s, 0) for s in range(8)) <= 8
+    assert mixing.op9_query(none).count() == 0
+
+
+def test_mixed_documents(spark):
+    rows = [(i, "  ".join(f"{i}w{j}" for j in range(10)), "en", "a", 0) for i in range(30)]
+    docs = make(spark, rows, extra=False)
+    got = mixing.mixed_documents(mixing.mix(docs), docs.columns).collect()
+    whole = {x[1] for x in rows}
+    assert sum(len(x.text.split()) for x in got) == 450 and sum(x.text not in whole for x in got) <= 1
+
+
+def brute_nearest(rows, k=20):
+    ok = [(i, np.asarray(v, float)) for i, v in rows if i is not None and v is not None and None not in v and len(v) == 8 and np.isfinite(np.asarray(v, float)).all() and np.any(v)]
+    return {i: sorted((-(q * v).sum(), j) for j, v in ok if j != i)[:k] for i, q in ok if i % 20 == 0}
+
+
+@pytest.mark.parametrize("norms", [False, True])
+def test_nearest_neighbours(spark, norms):
+    r = np.random.default_rng(5)
+    centers = r.standard_normal((20, 8)) * 3
+    rows = [(i, [float(np.float32(x)) for x in (centers[i % 20] + r.standard_normal(8)) * (r.random() + 0.5 if norms else 1)]) for i in range(900)]
+    rows += [(1000 + i, rows[3][1]) for i in range(300)]
+    rows += [(2000, None), (2020, [0.0] * 8), (2040, [float("nan")] * 8), (2060, [None] * 8), (2080, [1.0] * 3), (None, [1.0] * 8), (2100, [float("inf")] * 8), rows[40]]
+    got = defaultdict(list)
+    for x in ann.search(spark.createDataFrame([(*x, 1, 2) for x in rows], "vec_id long, embedding array<float>, score int, rank int")).collect():
+        got[x.query_id].append((x["rank"], x.vec_id, x.score))
+    want = brute_nearest(list({(i, tuple(v) if v else None) for i, v in rows}))
+    assert set(got) == set(want)
+    hit = 0
+    for q, found in got.items():
+        found.sort()
+        assert [f[0] for f in found] == list(range(1, 21)) and len({f[1] for f in found}) == 20
+        assert found == sorted(found, key=lambda f: (-round(f[2], 9), f[1])) or all(a[2] >= b[2] for a, b in zip(found, found[1:], strict=False))
+        hit += len({f[1] for f in found} & {j for _, j in want[q]})
+    assert hit >= 0.9 * 20 * len(want)
+
+
+def test_few_or_no_vectors(spark):
+    kind = "vec_id long, embedding array<float>"
+    assert ann.search(spark.createDataFrame([], kind)).count() == 0
+    got = ann.search(spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5])], kind)).collect()
+    assert sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in got) == [(0, 1, 1, 0.5), (0, 2, 2, 0.5)]
+
+
+def test_secrets(spark, odd, none):
+    model = secrets.trained(secrets.labelled_findings(spark))
+    held = secrets.judged(secrets.labelled_findings(spark, 1500, seed=99), model).select("label", "score").collect()
+    assert sum((x.score >= 0.5) == (x.label == 1) for x in held) >= 0.97 * len(held)
+    key, sha = "a94f5374fce5edbc8e2a8697c15331677e6ebf0b", "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    long_ = "word " * 50_000
+    rows = [(1, f'and here token = "{key}" of', None, "a", 0), (2, f"commit {sha} fixes it", None, "a", 0), (3, f'{long_}api_key: "{key}"', None, "a", 0), (4, f'secret = "{key}"\npassword = "{key}"', None, None, 0), (5, "mail me.1@mail2.example.com now", None, None, 0), (6, None, None, None, 0)]
+    got = [(x.doc_id, x.begin, x.length) for x in secrets.scan(make(spark, rows), model, path_col="source").collect()]
+    assert Counter(got) == Counter([(1, rows[0][1].index(key), 40), (3, rows[2][1].index(key), 40), (4, rows[3][1].index(key), 40), (4, rows[3][1].rindex(key), 40)])
+    assert secrets.scan(odd, model).count() == 0 and secrets.scan(none, model).count() == 0
+    many = " ".join(f"{i:x}{key}" for i in range(3000))
+    found = secrets.candidates(make(spark, [(1, many, None, None, 0)])).select("begin", "candidate").collect()
+    assert len(found) == 3000 and all(many[x.begin : x.begin + len(x.candidate)] == x.candidate for x in found)

@@ -18,7 +18,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import held, small_batches
 from .units import UnitMemory, by_pieces, gather
 
 _GOLD = 0x9E3779B97F4A7C15
@@ -140,17 +140,6 @@ class Codec:
         return gather(self.bytes_flat, self.bytes_start[ids], length), length
 
 
-_codecs: dict[str, Codec] = {}
-
-
-def worker_codec(key: str, shipped: tuple[dict[bytes, int], str]) -> Codec:
-    """The codec of a worker; it and its memory of units stay from task to task."""
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(*shipped)
-    return _codecs[key]
-
-
 def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, digests: bool = True) -> DataFrame:
     """For each row: doc_id, n_tokens, and as asked for ids (the token ids), ids_sha256 and decoded_sha256.
 
@@ -167,7 +156,7 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str
     kind = f"doc_id {id_type}, n_tokens bigint" + ", ids array<int>" * keep_ids + ", ids_sha256 string, decoded_sha256 string" * digests
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = worker_codec(key, shipped.value)
+        codec = held(f"bpe-{key}", lambda: Codec(*shipped.value))
         for batch in batches:
             flat, per = codec.encode(batch.column(1).to_pylist())
             ends = np.cumsum(per)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,3 +50,14 @@ def fresh_name(wanted: str, taken: list[str]) -> str:
     while wanted.lower() in names:
         wanted += "_"
     return wanted
+
+
+_held: dict[str, Any] = {}
+
+
+def held(key: str, make: Callable[[], Any]) -> Any:
+    """What a worker keeps from task to task. It keeps one thing: another key lets go of it, so the memories of operators do not add up."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]

@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import small_batches
+from .common import held, small_batches
 
 #: Bound of what a model is fitted to: documents of each language, a quarter of them for calibration. Nothing else is bounded.
 SAMPLE_DOCS = 560
 ORDER = 5
 #: Tokens that a worker remembers at most.
-MOST_TOKENS = 900_000
+MOST_TOKENS = 600_000
 UNKNOWN = "und"
 _MUL, _EDGE = np.uint64(0x9E3779B97F4A7C15), 32
 _LETTERS = regex.compile(r"\p{L}+")
@@ -246,17 +246,6 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     return models
 
 
-_here: dict[str, Models] = {}
-
-
-def _worker_models(key: str, shipped: Models) -> Models:
-    """The models of a worker; they and their memory of tokens stay from task to task."""
-    if key not in _here:
-        _here.clear()
-        _here[key] = shipped
-    return _here[key]
-
-
 def identified(docs: DataFrame, models: Models, text_col: str = "text") -> DataFrame:
     """``docs`` with lang_pred, lang_score, lang_entropy and lang_rejected.
 
@@ -272,7 +261,7 @@ def identified(docs: DataFrame, models: Models, text_col: str = "text") -> DataF
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _worker_models(key, shipped.value)
+        own = held(f"languages-{key}", lambda: shipped.value)
         for batch in batches:
             lang, score, low, rejected = own.predict(batch.column(at).to_pylist())
             new = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(low, pa.float64(), from_pandas=True), pa.array(rejected, pa.bool_())]

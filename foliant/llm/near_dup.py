@@ -18,13 +18,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import held, small_batches, written
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.999
 #: A block has so many members, and so many n-grams, on average at most.
 BLOCK_MEMBERS, BLOCK_GRAMS = 1024, 1 << 21
 #: Words that a worker remembers at most.
-MOST_WORDS = 800_000
+MOST_WORDS = 600_000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -44,8 +44,6 @@ class _Words(dict):
         return h
 
 
-_words = _Words()
-
 
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -58,9 +56,10 @@ def gram_set(text: str | None, n: int = WORDS) -> np.ndarray:
     words = text.encode("utf-8", "surrogatepass").split() if text else []
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    if len(_words) > MOST_WORDS:
-        _words.clear()
+    known = held("words", _Words)
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    if len(known) > MOST_WORDS:
+        known.clear()
     k = min(n, len(h))
     out = np.zeros(len(h) - k + 1, dtype=np.uint64)
     with np.errstate(over="ignore"):

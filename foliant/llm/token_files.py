@@ -10,6 +10,7 @@ the lane states (64 bits each); the words (32 bits each); the document list as a
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fresh_dir, small_batches, written
+from .common import fresh_dir, held, small_batches, written
 from .files import make_dir, new_file, opened
 from .units import UnitMemory, by_pieces
 
@@ -144,23 +145,13 @@ def pieces(unit: str) -> list[str]:
     return _SPLIT.findall(unit) if _PLAIN.match(unit) else [unit]
 
 
-_memories: dict[str, UnitMemory] = {}
-
-
 def _memory(tokenizer: bytes) -> UnitMemory:
-    """The worker's memory of units for a tokenizer; it stays from task to task."""
-    key = str(zlib.crc32(tokenizer))
-    if key not in _memories:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
-        t = Tokenizer.from_buffer(tokenizer)
-        t.encode_special_tokens = True
-        _memories.clear()
-        _memories[key] = UnitMemory(by_pieces(pieces, lambda new: [array("I", e.ids).tobytes() for e in t.encode_batch_fast(new, add_special_tokens=False)]))
-    return _memories[key]
+    t = Tokenizer.from_buffer(tokenizer)
+    t.encode_special_tokens = True
+    return UnitMemory(by_pieces(pieces, lambda new: [array("I", e.ids).tobytes() for e in t.encode_batch_fast(new, add_special_tokens=False)]))
 
 
 def token_rows(docs: DataFrame, tokenizer: bytes, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,7 +162,7 @@ def token_rows(docs: DataFrame, tokenizer: bytes, end_id: int, id_col: str = "do
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory, press = _memory(shipped.value), zstandard.ZstdCompressor(level=1)
+        memory, press = held(f"tokens-{zlib.crc32(shipped.value)}", lambda: _memory(shipped.value)), zstandard.ZstdCompressor(level=1)
         for batch in batches:
             flat, per = memory.ids(batch.column(1).to_pylist())
             flat = np.insert(flat, np.cumsum(per), end_id).astype("<u4")

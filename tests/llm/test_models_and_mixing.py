@@ -39,21 +39,50 @@ def test_languages_are_found_and_others_rejected(spark, models, odd, none):
     assert {x.lang_pred for x in language_id.op3_query(make(spark, [(1, "abc", None, None, 0)])).collect()} == {"und"}
 
 
-def test_model_probabilities_sum_to_one():
-    text = ["ab ac abc bca cab abb a b"] * 3
-    rows = language_id.trained(text).assign(lang="x")
-    m = language_id.Models(["x"], rows, signs=1 << 10)
-    # After "ab" the next characters, the end included, and those that no text has, share all probability.
-    seen = [("aba", 2), ("abb", 2), ("abc", 2)]
-    whole = lambda w: math.exp(-m.costs([w])[0][0, 0])
-    p_end = whole("ab")
-    h, depth = language_id.grams(["ab"], m.order)
-    prefix = 1.0
-    for w in ("a", "ab"):
-        pass
-    p = {w: whole(w) for w, _ in seen}
-    assert 0 < p_end < 1 and all(0 < x < 1 for x in p.values())
-    assert m.entropies(["ab abc"])[0][0, 0] < m.entropies(["zq qz"])[0][0, 0]
+def brute_cost(words, counts, order, floor, root):
+    """Interpolated Kneser-Ney by the book, over tuples; a context does not go beyond the beginning of a word."""
+    grams = [Counter() for _ in range(order + 1)]
+    for w, times in counts.items():
+        t = f" {w} "
+        for end in range(1, len(t)):
+            for n in range(1, min(order, end + 1) + 1):
+                grams[n][t[end - n + 1 : end + 1], end - n + 1 == 0] += times
+    use = [Counter() for _ in range(order + 1)]
+    for n in range(1, order + 1):
+        for (g, begins), c in grams[n].items():
+            if n == order or begins:
+                use[n][g] = c
+            else:
+                use[n][g] = max(1, sum(1 for (x, _), _ in grams[n + 1].items() if x[1:] == g))
+    off = [0.5] * (order + 1)
+    for n in range(1, order + 1):
+        one, two = sum(c == 1 for c in use[n].values()), sum(c == 2 for c in use[n].values())
+        off[n] = min(0.95, max(0.05, one / (one + 2 * two))) if one else 0.5
+
+    def p(g):
+        n = len(g)
+        lower = p(g[1:]) if n > 1 else floor
+        after = {x: c for x, c in use[n].items() if x[:-1] == g[:-1]}
+        if not after:
+            return lower
+        total = sum(after.values())
+        return (max(after.get(g, 0) - off[n], 0) if g in after else 0) / total + off[n] * len(after) / total * lower
+
+    out = []
+    for w in words:
+        t = f" {w} "
+        out.append(sum(-math.log(p(t[max(0, end - order + 1) : end + 1])) for end in range(1, len(t))))
+    return out
+
+
+def test_costs_are_those_of_the_book():
+    r = random.Random(9)
+    counts = Counter("".join(r.choice("abc") for _ in range(r.randint(1, 4))) for _ in range(60))
+    text = [" ".join(w for w, n in counts.items() for _ in range(n))]
+    m = language_id.Models(["x"], language_id.trained(text, 3).assign(lang="x"), order=3)
+    words = ["a", "ab", "abc", "cab", "bbbb", "zab", "az", "ccaba"]
+    want = brute_cost(words, counts, 3, m.floor, None)
+    assert np.allclose(m.costs(words)[0][:, 0], want, rtol=1e-4)
 
 
 def test_token_memory_is_bounded(models, monkeypatch):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions import text as tx
-from .operators import graph, records, search
+from .operators import graph, places, records, search
 from .plans.search_plan import SearchPlan, read_sigils
 from .sources.tables import headed_text, table
 
@@ -430,3 +430,68 @@ def corpus_overlap(spark, d):
     b = table(spark, d, "labels").select((F.col("doc_id") + 3).alias("doc_id"), F.lit(1).alias("b")).distinct()
     side = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), "both").when(F.col("a").isNotNull(), "first").otherwise("second")
     return a.join(b, "doc_id", "full").groupBy(side.alias("side")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _addresses(spark, d):
+    """Places of orders' lines: the work is the customer's nation group, the address customer:order:line."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    li = table(spark, d, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    return li.select((F.col("o_custkey") % 25).alias("work"), F.concat_ws(":", "o_custkey", "o_orderkey", "l_linenumber").alias("address"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ord"))
+
+
+_ADDR = "a AS (SELECT o_custkey % 25 AS work, o_custkey || ':' || o_orderkey || ':' || l_linenumber AS address, l_orderkey * 8 + l_linenumber AS ord FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+
+
+@query(f"""WITH {_ADDR}, q AS (SELECT c_custkey % 26 AS work, CAST(c_custkey AS VARCHAR) AS key FROM customer), f AS (SELECT q.work, q.key, min(ord) AS first, max(ord) AS last, count(ord) AS n FROM q LEFT JOIN a ON a.work = q.work AND (a.address = q.key OR (a.address >= q.key || ':' AND a.address < q.key || ';')) GROUP BY q.work, q.key)
+SELECT work, key, first, last, n, CASE WHEN n > 0 THEN 'resolved' WHEN work IN (SELECT work FROM a) THEN 'no address' ELSE 'no work' END AS outcome FROM f""")
+def citation_resolve(spark, d):
+    asked = table(spark, d, "customer").select((F.col("c_custkey") % 26).alias("work"), F.col("c_custkey").cast("string").alias("key"))
+    return places.resolve(asked, _addresses(spark, d))
+
+
+@query("""WITH b AS (SELECT o_custkey || ':' || o_orderkey AS address, o_orderkey AS ord FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT CAST(c_custkey AS VARCHAR), c_custkey FROM customer WHERE c_acctbal > 0),
+l AS (SELECT l_orderkey * 8 + l_linenumber AS line, o_custkey || ':' || o_orderkey || ':' || l_linenumber AS address, o_custkey || ':' || o_orderkey AS a2, CAST(o_custkey AS VARCHAR) AS a1 FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+m AS (SELECT address, min(ord) AS ord FROM b GROUP BY address)
+SELECT line, l.address, coalesce(x.ord, y.ord) AS place, CAST(CASE WHEN x.ord IS NOT NULL THEN 2 WHEN y.ord IS NOT NULL THEN 1 END AS INT) AS levels FROM l LEFT JOIN m x ON x.address = a2 LEFT JOIN m y ON y.address = a1""")
+def beside_follow(spark, d):
+    o, c = table(spark, d, "orders"), table(spark, d, "customer")
+    base = o.where("o_orderstatus = 'F'").select(F.concat_ws(":", "o_custkey", "o_orderkey").alias("address"), F.col("o_orderkey").alias("ord"))
+    base = base.unionByName(c.where("c_acctbal > 0").select(F.col("c_custkey").cast("string").alias("address"), F.col("c_custkey").alias("ord")))
+    return places.followed(_addresses(spark, d).select(F.col("ord").alias("line"), "address"), base)
+
+
+@query(f"WITH {EDGES}, s AS (SELECT p_partkey AS asked, 'p' || (p_partkey % 20) AS work, p_size AS lo, p_size + 3 AS hi FROM part) SELECT asked, count(*) AS n FROM s JOIN e ON dst_work = work AND dst_ord <= hi AND dst_ord + CAST(l_quantity AS INT) % 4 >= lo GROUP BY asked")
+def links_touching(spark, d):
+    ends = edges(spark, d).select(F.col("dst_work").alias("work"), F.col("dst_ord").alias("from_ord"), (F.col("dst_ord") + F.col("l_quantity").cast("int") % 4).alias("to_ord"), "edge_no")
+    spans = table(spark, d, "part").select(F.col("p_partkey").alias("asked"), F.concat(F.lit("p"), F.col("p_partkey") % 20).alias("work"), F.col("p_size").alias("lo"), (F.col("p_size") + 3).alias("hi"))
+    return places.touching(ends, spans, 16).groupBy("asked").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {EDGES} SELECT dst_work AS work, dst_ord AS ord, count(DISTINCT src_work) AS n, min(src_work) AS first FROM e WHERE edge_type = 'comments-on' GROUP BY 1, 2")
+def commentators_per_line(spark, d):
+    return places.commentators(edges(spark, d)).select("work", "ord", F.size("works").cast("bigint").alias("n"), F.element_at("works", 1).alias("first"))
+
+
+@query(f"WITH {EDGES}, n AS (SELECT src_work, dst_work, count(*) AS n FROM e GROUP BY 1, 2), p AS (SELECT src_work, dst_work, src_ord, bool_or(src_ord = dst_ord) AS a FROM e GROUP BY ALL), s AS (SELECT src_work, dst_work, count(*) FILTER (WHERE a) AS same FROM p GROUP BY 1, 2) SELECT CASE WHEN src_work = 's1' THEN 'declared' WHEN same >= 4 THEN 'parallel' WHEN n >= 12 THEN 'linked' ELSE 'apart' END AS relation, count(*) AS pairs FROM n JOIN s USING (src_work, dst_work) GROUP BY 1")
+def relation_verdict(spark, d):
+    e = edges(spark, d)
+    n = e.groupBy("src_work", "dst_work").agg(F.count(F.lit(1)).alias("n"))
+    both = n.join(graph.order_agreement(e, 4), ["src_work", "dst_work"])
+    return both.groupBy(places.verdict(F.col("src_work") == "s1", F.col("n"), F.col("same"), 12, 4).alias("relation")).agg(F.count(F.lit(1)).alias("pairs"))
+
+
+@query(f"WITH {EDGES}, c AS (SELECT *, round((CASE method WHEN 'cited' THEN 0.9 ELSE 0.7 END) - (CASE WHEN directed THEN 0 ELSE 0.15 END), 4) AS confidence FROM e) SELECT src_work, count(*) AS n FROM c WHERE confidence >= 0.75 AND edge_type IN ('comments-on', 'quotes') GROUP BY src_work")
+def lens_preset(spark, d):
+    e = edges(spark, d).withColumn("confidence", tx.confidence(F.col("method"), F.col("directed"), F.lit(None).cast("string")))
+    return places.lens(e, 0.75, ["comments-on", "quotes"]).groupBy("src_work").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("WITH l AS (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations) SELECT conv_id, turn, role FROM l WHERE b IS NULL OR b <> role")
+def contents_entries(spark, d):
+    return places.contents(table(spark, d, "conversations"), "conv_id", "turn", "role")
+
+
+@query("WITH m AS (SELECT doc_id, text, substring(text, 6, 12) AS was, CASE WHEN doc_id % 2 = 0 THEN 5 ELSE 9 END AS b FROM documents), s AS (SELECT *, position(was IN text) AS p FROM m), t AS (SELECT *, position(was IN substring(text, p + 1)) AS again FROM s) SELECT CASE WHEN substring(text, b + 1, length(was)) = was THEN 'exact' WHEN p > 0 AND again = 0 THEN 'moved' ELSE 'lost' END AS state, count(*) AS n FROM t GROUP BY 1")
+def mark_placement(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text", F.substring("text", 6, 12).alias("was"), F.when(F.col("doc_id") % 2 == 0, 5).otherwise(9).alias("b"))
+    return docs.groupBy(places.mark_state(F.col("text"), F.col("b"), F.col("was")).alias("state")).agg(F.count(F.lit(1)).alias("n"))

@@ -50,9 +50,11 @@ def absorb(segs: DataFrame, path: str, buckets: int = 64) -> None:
 
 def vocabulary(segs: DataFrame) -> DataFrame:
     """(term, df, cf): segments that have a word, and its occurrences. Words are counted in each segment before they are shuffled."""
-    words = segs.select(tokens(F.col("line")).alias("words"))
-    first = words.select(F.explode(F.array_distinct("words")).alias("term"), F.col("words"))
-    return first.select("term", F.expr("size(filter(words, w -> w = term))").cast("long").alias("tf")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    words = segs.select(F.array_sort(tokens(F.col("line"))).alias("s")).where(F.size("s") > 0)
+    # In a sorted array a word's occurrences are a run; where runs begin gives its count.
+    words = words.withColumn("b", F.expr("filter(sequence(0, size(s) - 1), i -> i = 0 OR get(s, i) <> get(s, i - 1))"))
+    each = words.select(F.explode(F.expr("transform(b, (x, k) -> named_struct('term', get(s, x), 'tf', CAST(coalesce(get(b, k + 1), size(s)) - x AS BIGINT)))")).alias("e"))
+    return each.select("e.*").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
 def expand(vocab: DataFrame, plan: SearchPlan) -> DataFrame:

@@ -29,6 +29,8 @@ ORDER = 5
 #: Tokens that a worker remembers at most.
 MOST_TOKENS = 600_000
 UNKNOWN = "und"
+#: A mean over n characters strays by this, divided by the root of n, before a text is rejected: a key or a number makes much of a short text.
+STRAY = 6.0
 _MUL, _EDGE = np.uint64(0x9E3779B97F4A7C15), 32
 _LETTERS = regex.compile(r"\p{L}+")
 
@@ -160,7 +162,7 @@ class Models:
         score = 1.0 / np.exp(-self.scale * (h - low[:, None])).sum(axis=1)
         none = n == 0
         lang = [UNKNOWN if x else self.langs[i] for x, i in zip(none.tolist(), best.tolist(), strict=True)]
-        return lang, np.where(none, 0.0, score), np.where(none, np.nan, low), none | (low > self.most[best])
+        return lang, np.where(none, 0.0, score), np.where(none, np.nan, low), none | (low > self.most[best] + STRAY / np.sqrt(np.maximum(n, 1)))
 
     def calibrate(self, texts: list[str], langs: list[str]) -> None:
         """Sets the scale with the least log loss, and for each language the cross-entropy beyond which a text is rejected: well above the highest of its calibration texts."""

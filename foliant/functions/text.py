@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ FINALS, FOLDED = "ךםןףץ", "כמנפצ"
 LATIN = "abcdefghijklmnopqrstuvwxyz"
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once, however often ``then`` names it: the optimizer copies an expression into each of its uses, but not a lambda's variable."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def tokens(text: Column) -> Column:
     """The words of a text in order, in lower case; null gives none."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({WORD})"), F.lit(1))
@@ -40,9 +47,12 @@ def mirrored(word: Column, letters: str = LATIN) -> Column:
 def initials_at(words: Column, wanted: str, last: bool = False) -> Column:
     """Where (from 0) a run of words begins whose first, or last, letters spell ``wanted``."""
     k = len(wanted)
-    letters = F.transform(words, lambda w: F.right(w, F.lit(1)) if last else F.left(w, F.lit(1)))
-    starts = F.when(F.size(words) >= k, F.sequence(F.lit(0), F.size(words) - k)).otherwise(F.array().cast("array<int>"))
-    return F.filter(starts, lambda i: F.array_join(F.slice(letters, i + 1, k), "") == wanted)
+
+    def found(letters: Column) -> Column:
+        starts = F.when(F.size(letters) >= k, F.sequence(F.lit(0), F.size(letters) - k)).otherwise(F.array().cast("array<int>"))
+        return F.filter(starts, lambda i: F.array_join(F.slice(letters, i + 1, k), "") == wanted)
+
+    return let(F.transform(words, lambda w: F.right(w, F.lit(1)) if last else F.left(w, F.lit(1))), found)
 
 
 def snippet(text: Column, at: Column, length: Column, width: int = 220) -> Column:

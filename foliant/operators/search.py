@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import tokens
+from ..functions.text import let, tokens
 from ..plans.search_plan import SearchPlan
 
 
@@ -50,10 +50,10 @@ def absorb(segs: DataFrame, path: str, buckets: int = 64) -> None:
 
 def vocabulary(segs: DataFrame) -> DataFrame:
     """(term, df, cf): segments that have a word, and its occurrences. Words are counted in each segment before they are shuffled."""
-    words = segs.select(F.array_sort(tokens(F.col("line"))).alias("s")).where(F.size("s") > 0)
     # In a sorted array a word's occurrences are a run; where runs begin gives its count.
-    words = words.withColumn("b", F.expr("filter(sequence(0, size(s) - 1), i -> i = 0 OR get(s, i) <> get(s, i - 1))"))
-    each = words.select(F.explode(F.expr("transform(b, (x, k) -> named_struct('term', get(s, x), 'tf', CAST(coalesce(get(b, k + 1), size(s)) - x AS BIGINT)))")).alias("e"))
+    begins = lambda s: F.filter(F.transform(s, lambda x, i: i), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+    runs = lambda s: let(begins(s), lambda b: F.transform(b, lambda x, k: F.struct(F.get(s, x).alias("term"), (F.coalesce(F.get(b, k + 1), F.size(s)) - x).cast("long").alias("tf"))))
+    each = segs.select(F.explode(let(F.array_sort(tokens(F.col("line"))), runs)).alias("e"))
     return each.select("e.*").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 

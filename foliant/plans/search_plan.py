@@ -9,6 +9,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 MOST_NEAR_WORDS, MOST_FORMS = 5, 1024
 SHAPES, MATCHES = ("anywhere", "phrase", "near"), ("word", "contains", "letters", "regex", "prefix")
 
@@ -74,6 +76,9 @@ class SearchPlan:
 
     def matches(self, words: Column) -> Column:
         """Whether a segment, as an array of words, is a hit."""
+        return let(words, self._matches)
+
+    def _matches(self, words: Column) -> Column:
         k = len(self.words)
         if self.shape == "anywhere" or k == 1:
             out = F.lit(True)
@@ -90,18 +95,18 @@ class SearchPlan:
                 return out
 
             return F.exists(starts, here)
-        places = [F.filter(F.transform(words, lambda x, i: i), self._takes(forms, words)) for forms in self.words]
+        places = F.array(*(F.filter(F.transform(words, lambda x, i: i), self._takes(forms, words)) for forms in self.words))
 
-        def nested(n: int, got: list[Column]) -> Column:
+        def nested(n: int, got: list[Column], places: Column) -> Column:
             if n == k:
                 apart = F.lit(True)
                 for a in range(k):
                     for b in range(a):
                         apart = apart & (got[a] != got[b])
                 return apart & (F.greatest(*got) - F.least(*got) + 1 - k <= self.slop)
-            return F.exists(places[n], lambda i: nested(n + 1, [*got, i]))
+            return F.exists(F.get(places, F.lit(n)), lambda i: nested(n + 1, [*got, i], places))
 
-        return nested(0, [])
+        return let(places, lambda p: nested(0, [], p))
 
 
 def read_sigils(typed: str) -> SearchPlan:

@@ -42,14 +42,17 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(id, path, candidate, begin, before, after) of every candidate with a letter and a digit, or of a known form, in the whole text."""
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
     rows = docs.select(F.col(id_col).alias("id"), path.alias("path"), F.col(text_col).alias("text"))
-    # The gaps between candidates and the candidates take turns, so lengths give places, and gaps the neighbouring words.
-    rows = rows.where(F.col("text").rlike(CANDIDATE)).withColumn("hits", F.regexp_extract_all("text", F.lit(f"({CANDIDATE})"), F.lit(1))).withColumn("gaps", F.split("text", CANDIDATE, -1))
-    rows = rows.withColumn("ends", F.expr("transform(hits, (h, i) -> CAST(length(get(gaps, i)) + length(h) AS BIGINT))"))
+    # The gaps between candidates and the candidates take turns, so lengths give places, and gaps the neighbouring words. Both are lambda variables,
+    # since the optimizer copies an expression into each of its uses; explode_outer, since it would copy the whole of this into a filter before explode.
+    both = f"array(named_struct('hits', regexp_extract_all(text, r'({CANDIDATE})', 1), 'gaps', split(text, r'{CANDIDATE}', -1)))"
     # Running sums by doubling: n log n steps for n candidates.
-    rows = rows.withColumn("ends", F.expr("aggregate(sequence(0, 30), ends, (s, k) -> IF(shiftleft(1L, k) < size(s), transform(s, (x, i) -> x + IF(i >= shiftleft(1, k), get(s, i - shiftleft(1, k)), 0L)), s))"))
-    rows = rows.select("id", "path", F.expr(f"""filter(transform(hits, (h, i) -> named_struct('candidate', h, 'begin', get(ends, i) - length(h), 'before', right(get(gaps, i), {BEFORE}), 'after', left(get(gaps, i + 1), {AFTER}))),
-        f -> f.candidate RLIKE '^-----BEGIN |[A-Za-z].*[0-9]|[0-9].*[A-Za-z]')""").alias("found"))
-    return rows.select("id", "path", F.explode("found").alias("f")).select("id", "path", "f.*")
+    ends = """aggregate(sequence(0, 30), transform(v.hits, (h, i) -> CAST(length(get(v.gaps, i)) + length(h) AS BIGINT)),
+        (s, k) -> IF(shiftleft(1L, k) < size(s), transform(s, (x, i) -> x + IF(i >= shiftleft(1, k), get(s, i - shiftleft(1, k)), 0L)), s))"""
+    found = f"""filter(transform(v.hits, (h, i) -> named_struct('candidate', h, 'begin', get(e, i) - length(h), 'before', right(get(v.gaps, i), {BEFORE}), 'after', left(get(v.gaps, i + 1), {AFTER}))),
+        f -> f.candidate RLIKE '^-----BEGIN |[A-Za-z].*[0-9]|[0-9].*[A-Za-z]')"""
+    rows = rows.where(F.col("text").rlike(CANDIDATE))
+    each = F.explode_outer(F.expr(f"get(transform({both}, v -> get(transform(array({ends}), e -> {found}), 0)), 0)"))
+    return rows.select("id", "path", each.alias("f")).where("f IS NOT NULL").select("id", "path", "f.*")
 
 
 def _share(part: Column, whole: Column) -> Column:

@@ -49,6 +49,8 @@ def revisits(pages: DataFrame, id_col: str = "page_id", body_col: str = "html",
     seen = pages.select(F.col(id_col).alias("id"), F.sha1(body).alias("digest"), F.octet_length(body).alias("bytes")).where(F.col("bytes") >= least)
     seen = written(seen.select("id", "digest"), "op2-digests")
     best = seen.groupBy("digest").agg(F.max("id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    # Written, so that the join has plain exchanges on both sides, and Spark can split the partition of a hot digest.
+    best = written(best, "op2-responses")
     return seen.join(best, "digest").where(~F.col("id").eqNullSafe(F.col("refers_to"))).select("id", "digest", "refers_to").distinct()
 
 

@@ -43,8 +43,9 @@ def _same(a: DataFrame, b: DataFrame) -> Column:
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, th, begin, n, kept_in): the chunks to remove, each with the id of the document that keeps the first occurrence."""
     all_ = written(chunks(docs, id_col, text_col), "op6-chunks").distinct()
-    first = all_.groupBy("h").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "begin", "th")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
-    again = written(all_.join(first.select("h"), "h", "left_semi"), "op6-again")
+    first = all_.groupBy("h").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("h")
+    first = written(first, "op6-repeated")
+    again = written(all_.join(first, "h", "left_semi"), "op6-again")
     per = again.groupBy("id", "th").agg(F.collect_set(F.struct("begin", "n", "h")).alias("spans")).hint("shuffle_hash")
     rows = _keyed(docs, id_col, text_col)
     texts = rows.join(per, _same(rows, per)).select(per["id"], per["th"], "text", "spans").withColumn("lines", F.expr(LINES)).select("id", "th", F.explode(F.expr(f"transform(spans, s -> named_struct('begin', s.begin, 'n', s.n, 'h', s.h, 'chunk', {chunk_text('lines', 's')}))")).alias("s"))

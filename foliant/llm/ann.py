@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import small_batches, written
-from .near_dup import groups
+from .near_dup import runs
 
 #: Bounds: vectors of the sample that is fitted; centroids. Lists that hold one vector.
 SAMPLE, MOST_CENTROIDS, REPLICAS = 8192, 4096, 4
@@ -215,9 +215,10 @@ def search(vectors: DataFrame, every: int = 20, nearest: int = 20, id_col: str =
             best.clear()
             return pa.RecordBatch.from_arrays(out, names=["rep", "found", "score"])
 
-        for _, _, _, asks, rep, vector in groups(batches, 3):
-            asks, rep = np.asarray(asks), np.asarray(rep)
-            x = np.asarray(vector, dtype=np.float64)
+        for run in runs(batches, 3):
+            asks = np.concatenate([part.column(3).to_numpy(zero_copy_only=False) for part in run])
+            rep = np.concatenate([part.column(4).to_numpy() for part in run])
+            x = np.concatenate([_vectors(part.column(5)) for part in run])
             q, v, qi, vi = x[asks], x[~asks], rep[asks], rep[~asks]
             if not len(q) or not len(v):
                 continue

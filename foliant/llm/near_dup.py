@@ -125,8 +125,14 @@ def full_sets(docs: DataFrame, keys: DataFrame, n: int, id_col: str, text_col: s
 
 
 def groups(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[list[list]]:
-    """The columns of each run of rows that agree in the first ``by`` columns, runs that go on into the next batch put together."""
-    held: list[pa.RecordBatch] = []
+    """The columns, as lists, of each run of rows that agree in the first ``by`` columns."""
+    for run in runs(batches, by):
+        yield [[x for part in run for x in part.column(i).to_pylist()] for i in range(run[0].num_columns)]
+
+
+def runs(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[list[pa.RecordBatch]]:
+    """Each run of rows that agree in the first ``by`` columns, as its parts; a run may go on over several batches."""
+    parts: list[pa.RecordBatch] = []
     last = None
     for batch in batches:
         if not batch.num_rows:
@@ -139,14 +145,14 @@ def groups(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[list[list]]:
         cut[0] = first != last
         at = [*np.flatnonzero(cut).tolist(), batch.num_rows]
         if at[0] > 0:
-            held.append(batch.slice(0, at[0]))
+            parts.append(batch.slice(0, at[0]))
         for a, b in zip(at, at[1:], strict=False):
-            if held:
-                yield [[x for h in held for x in h.column(i).to_pylist()] for i in range(batch.num_columns)]
-            held = [batch.slice(a, b - a)]
+            if parts:
+                yield parts
+            parts = [batch.slice(a, b - a)]
         last = tuple(c[batch.num_rows - 1].as_py() for c in batch.columns[:by])
-    if held:
-        yield [[x for h in held for x in h.column(i).to_pylist()] for i in range(held[0].num_columns)]
+    if parts:
+        yield parts
 
 
 def open_pairs(band: int, i: int, j: int, block: np.ndarray, bands: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -227,9 +233,11 @@ def components(edges: DataFrame) -> DataFrame:
         # Large star: every larger neighbour of a node is linked to the smallest of the node and its neighbours.
         ways = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = ways.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m"))
+        low = written(low, "stars-low")
         large = ways.join(low, ways.u == low.n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # Small star: the smaller neighbours of a node, and the node, are linked to the smallest of them.
-        least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), "m")
+        large = written(large, "stars-large")
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), "m"), "stars-least")
         small = large.join(least, large.u == least.n).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e"))
         now = written(small.select("e.u", "e.v").where("u <> v").distinct(), "stars")
         state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head())
@@ -260,6 +268,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     at = classes.where("grams > 0").select("key", "grams", F.posexplode(cut).alias("band", "value")).select("band", F.unhex("value").alias("value"), "key", "grams")
     at = at.select("band", F.xxhash64("value").alias("bucket"), "key", "grams")
     sizes = at.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("members"), F.sum("grams").alias("total")).where("members > 1")
+    # What is aggregated is written before rows are joined to it: the joins then have plain exchanges, and Spark can split a hot key's partition.
+    sizes = written(sizes, "op5-buckets")
     met = at.join(sizes, ["band", "bucket"]).select("band", "bucket", "key", F.expr(f"CAST(greatest(ceil(members / {block_members}), ceil(total / {block_grams})) AS INT)").alias("blocks"))
     met = met.withColumn("block", F.expr("CAST(pmod(xxhash64(key, 7), blocks) AS INT)"))
     met = met.select("band", "bucket", "key", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
@@ -313,6 +323,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = classes.select("key", "id").join(roots, "key", "left").join(per, "key", "left").select("key", F.col("id").alias("copy_of"), F.coalesce("root", "key").alias("root"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))
     placed = written(placed, "op5-placed")
     names = placed.groupBy("root").agg(F.min(F.struct(F.col("copy_of").isNull().alias("none"), F.col("copy_of").alias("id"))).alias("f")).select("root", F.col("f.id").alias("class_id"))
+    names = written(names, "op5-names")
     return signed.select("key", "id").join(placed.join(names, "root"), "key").select(F.col("id").alias("doc_id"), "class_id", "copy_of", "n_links")
 
 

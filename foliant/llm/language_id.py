@@ -30,7 +30,7 @@ ORDER = 5
 MOST_TOKENS = 600_000
 UNKNOWN = "und"
 #: A mean over n characters strays by this, divided by the root of n, before a text is rejected: a key or a number makes much of a short text.
-STRAY = 6.0
+STRAY = 10.0
 _MUL, _EDGE = np.uint64(0x9E3779B97F4A7C15), 32
 _LETTERS = regex.compile(r"\p{L}+")
 
@@ -232,8 +232,12 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     trained in parallel; what comes to the driver are the models and the calibration texts, both bounded by that parameter.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    chosen = rows.select("id", "lang").withColumn("n", rank).where(F.col("n") <= sample_docs)
+    # One row a language. Of a language's rows only about three times as many as are wanted go into the window, by their hashes, however many there are.
+    counts = labelled.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).agg((3.0 * sample_docs / F.count(F.lit(1))).alias("part"))
+    near = rows.select("id", "lang").join(F.broadcast(counts), "lang").where(F.shiftrightunsigned(F.xxhash64("id"), 11) / float(1 << 53) < F.col("part")).drop("part")
+    # The window goes by the same hash without its sign, so those with the smallest are all there.
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned(F.xxhash64("id"), 11), "id"))
+    chosen = near.withColumn("n", rank).where(F.col("n") <= sample_docs)
     # At most sample_docs rows for each language: bounded, so broadcast.
     sample = rows.join(F.broadcast(chosen), ["id", "lang"]).dropDuplicates(["lang", "n"]).persist()
     model = sample.where(F.col("n") % 4 != 0).groupBy("lang").applyInPandas(lambda key, x: trained(x.sort_values("n")["text"].tolist(), order).assign(lang=key[0]), "hash long, share double, rest double, lang string")

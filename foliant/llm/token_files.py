@@ -214,19 +214,19 @@ def write_token_files(docs: DataFrame, tokenizer: bytes, end_id: int, folder: st
         with new_file(folder, f"ids-{no:06d}", ".rans") as (f, name):
             f.write(MAGIC)
             at = len(MAGIC)
-            held: list[pa.RecordBatch] = []
+            kept: list[pa.RecordBatch] = []
             ids: list[bytes] = []
             n = 0
 
             def flush() -> None:
-                nonlocal at, held, ids, n
-                if held:
+                nonlocal at, kept, ids, n
+                if kept:
                     flat = np.frombuffer(b"".join(ids), "<u4")
-                    listed = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                    listed = pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
                     raw = block_bytes(flat, listed, shipped.value)
                     f.write(raw)
                     index.append((name, no, at, len(raw), listed.num_rows, len(flat)))
-                    at, held, ids, n = at + len(raw), [], [], 0
+                    at, kept, ids, n = at + len(raw), [], [], 0
 
             def cuts() -> Iterator[pa.RecordBatch]:
                 yield first
@@ -237,7 +237,7 @@ def write_token_files(docs: DataFrame, tokenizer: bytes, end_id: int, folder: st
                 for i, size in enumerate(sizes):
                     n += size
                     if n >= block_ids or i == len(sizes) - 1:
-                        held.append(batch.slice(begin, i + 1 - begin).select(["doc_id", "n_tokens"]))
+                        kept.append(batch.slice(begin, i + 1 - begin).select(["doc_id", "n_tokens"]))
                         ids += [unpack.decompress(x) for x in batch.column(2).slice(begin, i + 1 - begin).to_pylist()]
                         begin = i + 1
                         if n >= block_ids:

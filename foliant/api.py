@@ -37,8 +37,8 @@ class Library:
     def resolve(self, asked: DataFrame) -> DataFrame:
         return places.resolve(asked, self._need("addresses"))
 
-    def where_from(self, phrases: DataFrame, n_words: int = 4) -> DataFrame:
-        return search.where_from(self.segments, phrases, n_words)
+    def where_from(self, phrases: DataFrame, n_words: int = 4, without: str | None = None) -> DataFrame:
+        return search.where_from(self.segments, phrases, n_words, without=without)
 
     def links(self, work: str, lo: int, hi: int) -> DataFrame:
         e = graph.inverted(self._need("edges"))

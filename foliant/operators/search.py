@@ -126,12 +126,24 @@ def smart(segs: DataFrame, plan: SearchPlan, near: int = 5) -> DataFrame:
     return found.join(F.broadcast(least), level == F.col("least")).select("how", "doc_id", "line_no")
 
 
-def where_from(segs: DataFrame, phrases: DataFrame, n_words: int, too_common: int = 200) -> DataFrame:
-    """(item_id, hits, works, turn_of_speech): where the first ``n_words`` words of each phrase occur as a phrase. A join on hashed word n-grams, not a scan a phrase; more hits than ``too_common`` are a turn of speech and no quotation."""
-    grams = lambda words: F.transform(F.sequence(F.lit(1), F.size(words) - n_words + 1), lambda i: F.array_join(F.slice(words, i, n_words), " "))
-    asked = phrases.withColumn("words", tokens(F.col("text"))).where(F.size("words") >= n_words).select("item_id", F.array_join(F.slice("words", 1, n_words), " ").alias("gram"))
-    there = segs.withColumn("words", tokens(F.col("line"))).where(F.size("words") >= n_words).select("source", "doc_id", "line_no", F.explode(F.array_distinct(grams(F.col("words")))).alias("gram"))
-    found = asked.join(there, "gram").groupBy("item_id").agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("source").alias("works"))
+def where_from(segs: DataFrame, phrases: DataFrame, n_words: int, too_common: int = 200, without: str | None = None) -> DataFrame:
+    """(item_id, hits, works, turn_of_speech): where all words of each phrase occur as a phrase in a segment, outside the work ``without`` if one is named. A join on
+    hashed word n-grams, not a scan a phrase, finds candidates by the first ``n_words`` words (all words of a shorter phrase); the whole phrase is then looked for in
+    each. A phrase without a word has no row; more hits than ``too_common`` are a turn of speech and no quotation."""
+    if without is not None:
+        segs = segs.where(~F.col("source").eqNullSafe(F.lit(without)))
+    spaced = lambda words: F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    gram = lambda words, i, n: F.xxhash64(F.array_join(F.slice(words, i, n), " "))
+    asked = phrases.select("item_id", tokens(F.col("text")).alias("words")).where(F.size("words") > 0)
+    asked = asked.select("item_id", spaced("words").alias("phrase"), gram("words", F.lit(1), F.lit(n_words)).alias("gram"), F.least(F.size("words"), F.lit(n_words)).alias("n")).distinct()
+    lengths = asked.agg(F.collect_set("n").alias("lengths"))  # n_words numbers at most
+    places = lambda words, n: F.sequence(F.lit(1), F.size(words) - n + 1)
+    grams = lambda words: F.flatten(F.transform(F.filter("lengths", lambda n: n <= F.size(words)), lambda n: F.transform(places(words, n), lambda i: gram(words, i, n))))
+    each = F.explode(F.array_distinct(let(tokens(F.col("line")), grams)))
+    there = segs.select("doc_id", "line_no", "line").crossJoin(F.broadcast(lengths)).select(F.col("doc_id").alias("doc_id_"), F.col("line_no").alias("line_no_"), each.alias("gram"))
+    candidates = asked.join(there, "gram").select("item_id", "phrase", "doc_id_", "line_no_").distinct()
+    whole = segs.join(candidates, F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (F.col("line_no") == F.col("line_no_"))).where(F.contains(spaced(tokens(F.col("line"))), F.col("phrase")))
+    found = whole.groupBy("item_id").agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("source").alias("works"))
     return found.withColumn("turn_of_speech", F.col("hits") > too_common)
 
 

@@ -64,6 +64,16 @@ def test_index_round_trip(spark, segs, tmp_path):
     assert lines(got) == lines(search.hits(segs, read_sigils("stone")))
 
 
+def test_where_from_looks_for_the_whole_phrase(spark):
+    said = ["one two three four five six", "x One, two three four five six y", "one two three four other", "five six", "one two three four five sixty"]
+    segs = spark.createDataFrame([(i, "vwv"[i % 3], "en", 0, x) for i, x in enumerate(said)] + [(1, "w", "en", 0, said[1])], "doc_id long, source string, lang string, line_no int, line string")
+    phrases = spark.createDataFrame([(1, said[0]), (2, "five six"), (3, "one"), (4, "?"), (5, "one two three four"), (6, "two three four five six seven")], "item_id long, text string")
+    found = lambda **o: {r.item_id: (r.hits, r.works, r.turn_of_speech) for r in search.where_from(segs, phrases, 4, **o).collect()}
+    assert found(too_common=3) == {1: (3, 2, False), 2: (4, 2, True), 3: (5, 2, True), 5: (5, 2, True)}
+    assert found(without="w") == {1: (1, 1, False), 2: (2, 1, False), 3: (2, 1, False), 5: (2, 1, False)}
+    assert search.where_from(segs, phrases.where("item_id = 4"), 4).count() == 0
+
+
 def test_text_functions(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).head().x
     normal = one(tx.hebrew_normal(F.lit("שָׁלוֹם״")))

@@ -145,13 +145,30 @@ def pieces(unit: str) -> list[str]:
     return _SPLIT.findall(unit) if _PLAIN.match(unit) else [unit]
 
 
-def _memory(tokenizer: bytes) -> UnitMemory:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_buffer(tokenizer)
-    t.encode_special_tokens = True
-    return UnitMemory(by_pieces(pieces, lambda new: [array("I", e.ids).tobytes() for e in t.encode_batch_fast(new, add_special_tokens=False)]))
+class _Encoder:
+    """ids(texts), as in UnitMemory, by the library's contract: a text that holds the content of an added token goes to the library whole, since the token can span units."""
+
+    def __init__(self, tokenizer: bytes) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.whole, t = Tokenizer.from_buffer(tokenizer), Tokenizer.from_buffer(tokenizer)
+        self.added = [x.content for x in self.whole.get_added_tokens_decoder().values()]
+        # Units of the other texts hold no added token, so nothing need be looked for in them.
+        t.encode_special_tokens = True
+        self.memory = UnitMemory(by_pieces(pieces, lambda new: [array("I", e.ids).tobytes() for e in t.encode_batch_fast(new, add_special_tokens=False)]))
+
+    def ids(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        odd = [i for i, x in enumerate(texts) if x and any(a in x for a in self.added)]
+        if not odd:
+            return self.memory.ids(texts)
+        got = [np.array(e.ids, "<u4") for e in self.whole.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False)]
+        skip = set(odd)
+        flat, per = self.memory.ids([None if i in skip else x for i, x in enumerate(texts)])
+        sizes = [len(x) for x in got]
+        flat = np.insert(flat, np.repeat(np.cumsum(per)[odd], sizes), np.concatenate(got))
+        per[odd] = sizes
+        return flat, per
 
 
 def token_rows(docs: DataFrame, tokenizer: bytes, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -162,7 +179,7 @@ def token_rows(docs: DataFrame, tokenizer: bytes, end_id: int, id_col: str = "do
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory, press = held(f"tokens-{zlib.crc32(shipped.value)}", lambda: _memory(shipped.value)), zstandard.ZstdCompressor(level=1)
+        memory, press = held(f"tokens-{zlib.crc32(shipped.value)}", lambda: _Encoder(shipped.value)), zstandard.ZstdCompressor(level=1)
         for batch in batches:
             flat, per = memory.ids(batch.column(1).to_pylist())
             flat = np.insert(flat, np.cumsum(per), end_id).astype("<u4")

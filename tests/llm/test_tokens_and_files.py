@@ -103,6 +103,22 @@ def test_token_files(spark, odd, odd_rows, none):
         token_files.read_block(bytes(raw), table)
 
 
+def test_added_tokens_are_the_library_s(spark):
+    from tokenizers import Tokenizer
+
+    path, end = tokenizer_path("byte_bpe_50k.json"), "<|endoftext|>"
+    t = Tokenizer.from_file(path)
+    said = ["plain words", f"a {end} b", end, None, f"{end}{end} x", "", f"no <|end oftext|>\n {end}\n", "after", "<|endoftext", f"tail {end}"]
+    start, want = 0, []
+    for i, x in enumerate(said):
+        ids = [*t.encode(x or "", add_special_tokens=False).ids, 2]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert t.encode(said[1], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    docs = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string").repartition(2)
+    assert sorted(map(tuple, token_files.op4_query(docs, path).collect())) == want
+
+
 def page_rows():
     inner = warc.record_bytes([("WARC-Type", "response"), ("X-Page-ID", "999")], b"false " * 50)
     big = "é" * 700

@@ -26,8 +26,8 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Chunks of lines that an earlier document has are taken out of the text; every document stays."""
-    return _as_documents(line_dedup.line_dedup(docs))
+    """Runs of two lines or more that an earlier document has are taken out of the text; every document stays."""
+    return _as_documents(line_dedup.line_dedup(docs, whole=True))
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

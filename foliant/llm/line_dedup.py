@@ -4,6 +4,9 @@ A rolling hash runs over the hashes of two lines; a chunk begins where it is sma
 boundary depends on four lines only, so text that is shifted, inserted or cut elsewhere does not move it, and no two
 boundaries are adjacent: every chunk between two of them has two lines or more. Chunks that occur more than once
 are compared with their first occurrence byte by byte, and all but the first are removed.
+
+Chunks miss most short passages, as few of these hold two boundaries. Where the whole job is asked for, each pair of neighbouring lines
+that are not blank is a chunk (with the blank lines between them), so that pairs cover any repeated run of two such lines or more.
 """
 
 from __future__ import annotations
@@ -18,6 +21,10 @@ ROLL = "transform(sequence(0, size(hashes) - 1), i -> IF(i = 0, hashes[0], md5(c
 BEGINS = "concat(array(0), filter(sequence(0, size(roll) - 1), i -> i > 0 AND roll[i] < roll[i - 1] AND (i = size(roll) - 1 OR roll[i] <= roll[i + 1])))"
 #: (first line, number of lines) of each chunk of two lines or more.
 SPANS = "filter(transform(begins, (b, k) -> named_struct('begin', b, 'n', IF(k = size(begins) - 1, size(hashes), begins[k + 1]) - b)), s -> s.n > 1)"
+#: The same for each pair of neighbouring lines that are not blank; the blank lines at the ends of a text go with its first and last pair.
+PAIRS = """get(transform(array(filter(sequence(0, size(lines) - 1), i -> trim(lines[i]) <> '')), full -> flatten(transform(filter(sequence(0, size(full) - 1), k -> k > 0), k -> transform(
+    array_distinct(array(struct(full[k - 1] AS b, full[k] AS e), struct(IF(k = 1, 0, full[k - 1]) AS b, full[k] AS e), struct(full[k - 1] AS b, IF(k = size(full) - 1, size(lines) - 1, full[k]) AS e))),
+    x -> named_struct('begin', x.b, 'n', x.e - x.b + 1))))), 0)"""
 
 
 def chunk_text(lines: str, span: str) -> str:
@@ -36,41 +43,58 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return rows.select("id", "th", F.explode(F.expr("filter(spans, s -> s.full > 1)")).alias("s")).select("id", "th", "s.begin", "s.n", "s.h")
 
 
+def pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, th, begin, n, h), as ``chunks`` gives, of PAIRS."""
+    rows = _keyed(docs, id_col, text_col).where(F.instr("text", "\n") > 0)
+    spans = f"get(transform(array({LINES}), lines -> transform({PAIRS}, s -> named_struct('begin', s.begin, 'n', s.n, 'h', xxhash64({chunk_text('lines', 's')})))), 0)"
+    return rows.select("id", "th", F.explode_outer(F.expr(spans)).alias("s")).where("s IS NOT NULL").select("id", "th", "s.begin", "s.n", "s.h")
+
+
 def _same(a: DataFrame, b: DataFrame) -> Column:
     return a["id"].eqNullSafe(b["id"]) & (a["th"] == b["th"])
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
     """(id, th, begin, n, kept_in): the chunks to remove, each with the id of the document that keeps the first occurrence."""
-    all_ = written(chunks(docs, id_col, text_col), "op6-chunks").distinct()
+    all_ = written((pairs if whole else chunks)(docs, id_col, text_col), "op6-chunks").distinct()
     first = all_.groupBy("h").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("h")
     first = written(first, "op6-repeated")
     again = written(all_.join(first, "h", "left_semi"), "op6-again")
     per = again.groupBy("id", "th").agg(F.collect_set(F.struct("begin", "n", "h")).alias("spans")).hint("shuffle_hash")
     rows = _keyed(docs, id_col, text_col)
-    texts = rows.join(per, _same(rows, per)).select(per["id"], per["th"], "text", "spans").withColumn("lines", F.expr(LINES)).select("id", "th", F.explode(F.expr(f"transform(spans, s -> named_struct('begin', s.begin, 'n', s.n, 'h', s.h, 'chunk', {chunk_text('lines', 's')}))")).alias("s"))
-    texts = written(texts.select("id", "th", "s.begin", "s.n", "s.h", "s.chunk").dropDuplicates(["id", "th", "begin"]), "op6-texts")
+    cut = f"get(transform(array({LINES}), lines -> transform(spans, s -> named_struct('begin', s.begin, 'n', s.n, 'h', s.h, 'chunk', {chunk_text('lines', 's')}))), 0)"
+    texts = rows.join(per, _same(rows, per)).select(per["id"], per["th"], "text", "spans").select("id", "th", F.explode_outer(F.expr(cut)).alias("s")).where("s IS NOT NULL")
+    texts = written(texts.select("id", "th", "s.begin", "s.n", "s.h", "s.chunk").dropDuplicates(["id", "th", "begin", "n"]), "op6-texts")
     # Of the chunks with one hash, those with one text are a group: the smallest of each (hash, text) stays.
     heads = texts.groupBy("h", "chunk").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "begin", "th")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
     # Written, so that the join below has plain exchanges on both sides, and Spark can split the partition of a hot chunk.
     heads = written(heads.select("h", F.col("chunk").alias("chunk_"), "first"), "op6-heads")
     found = texts.join(heads, (texts["h"] == heads["h"]) & (F.col("chunk") == F.col("chunk_")))
     other = ~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("begin") == F.col("first.begin")) & (F.col("th") == F.col("first.th")))
-    return found.where(other).select("id", "th", "begin", "n", F.col("first.id").alias("kept_in"))
+    # Lines that a pair shares with its own first occurrence (the same line again and again) belong to the latter.
+    shared = F.when(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th")), F.greatest(F.col("first.begin") + F.col("n") - F.col("begin"), F.lit(0))).otherwise(0)
+    return found.where(other).select("id", "th", (F.col("begin") + shared).alias("begin"), (F.col("n") - shared).alias("n"), F.col("first.id").alias("kept_in"))
+
+
+#: Spans put together where they overlap or touch.
+RUNS = """get(transform(array(array_sort(array_distinct(flatten(transform(spans, s -> sequence(s.begin, s.begin + s.n - 1)))))), gone ->
+    get(transform(array(filter(sequence(0, size(gone) - 1), i -> i = 0 OR gone[i] > gone[i - 1] + 1)), at -> transform(at, (p, k) -> named_struct('begin', gone[p], 'n', coalesce(get(at, k + 1), size(gone)) - p))), 0)), 0)"""
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
     """``docs`` with repeated chunks taken out of the text, and n_lines, n_removed (lines), chunks_removed and kept_in (sorted ids of the documents that keep them).
 
-    Lines end at a line feed; only chunks of two lines or more, two of them not blank, are removed, and the first occurrence, by
+    With ``whole``, every run of two lines that are not blank or more goes if it has occurred before, whatever stands around it; chunks_removed
+    counts the runs of lines that are taken out. The first occurrence of a line always stays. Without it, chunks go that are cut by the rolling hash:
+    lines end at a line feed; only chunks of two lines or more, two of them not blank, are removed, and the first occurrence, by
     smallest id and then place, stays (a null id is last). A null text stays null, an empty one empty; a text without a line feed never changes. Rows
     that repeat id and text are one document and get one result. A document may become empty, and stays as a row. An empty table
     gives an empty result. Columns of ``docs`` that have the names of the new columns are replaced.
     """
     new = ("n_lines", "n_removed", "chunks_removed", "kept_in")
     docs = docs.drop(*new)
-    gone = removals(docs, id_col, text_col).groupBy("id", "th").agg(F.collect_list(F.struct("begin", "n")).alias("spans"), F.array_sort(F.collect_set("kept_in")).alias("kept"))
-    gone = written(gone, "op6-removals")
+    gone = removals(docs, id_col, text_col, whole).groupBy("id", "th").agg(F.collect_list(F.struct("begin", "n")).alias("spans"), F.array_sort(F.collect_set("kept_in")).alias("kept"))
+    gone = written(gone.withColumn("spans", F.expr(RUNS)) if whole else gone, "op6-removals")
     own = {n: fresh_name(f"_{n}", docs.columns) for n in ("id", "th", "spans", "kept")}
     gone = gone.select(*(F.col(n).alias(own[n]) for n in own)).hint("shuffle_hash")
     joined = docs.join(gone, docs[id_col].eqNullSafe(gone[own["id"]]) & (F.xxhash64(docs[text_col]) == gone[own["th"]]), "left")
@@ -87,7 +111,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def op6_query(docs: DataFrame) -> DataFrame:
-    out = line_dedup(docs.select("doc_id", "text"))
+    out = line_dedup(docs.select("doc_id", "text"), whole=True)
     return out.select("doc_id", "n_lines", "n_removed", "chunks_removed", F.array_join(F.transform("kept_in", lambda x: x.cast("string")), ",").alias("kept_in"), F.sha2("text", 256).alias("text_sha256"))
 
 

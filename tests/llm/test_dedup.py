@@ -78,6 +78,37 @@ def test_line_dedup_is_the_brute_force_one(spark, odd, odd_rows):
     assert all(x.n_removed == 0 for i, x in got.items() if "shared" not in rows[i][1])
 
 
+def brute_runs(rows):
+    """Every pair of neighbouring lines that are not blank, in order of id and place; what an earlier pair says again goes."""
+    first, out = {}, {}
+    for i, t in sorted(rows):
+        ls = t.split("\n")
+        full = [k for k, x in enumerate(ls) if x.strip(" ")]
+        gone = set()
+        for k, (a, b) in enumerate(zip(full, full[1:], strict=False)):
+            for x, y in {(a, b), (0 if not k else a, b), (a, len(ls) - 1 if k == len(full) - 2 else b)}:
+                j, z = first.setdefault(tuple(ls[x : y + 1]), (i, x))
+                if (j, z) != (i, x):
+                    gone |= set(range(max(x, z + y - x + 1 if j == i else 0), y + 1))
+        left = [x for k, x in enumerate(ls) if k not in gone]
+        out[i] = "\n".join(left), len(gone), sum(k - 1 not in gone for k in gone)
+    return out
+
+
+def test_every_repeated_run_of_two_lines_goes(spark, odd, none):
+    r = random.Random(6)
+    shared = [[f"passage {k} line {j}" if j % 3 or k % 2 else "" for j in range(1, n)] for k, n in enumerate([3, 3, 4, 5, 6, 7, 9])]
+    rows = [(0, "\n".join(x for p in shared for x in [*p, "end"]))]
+    for i in range(1, 50):
+        rows.append((i, "\n".join([*(f"own {i} {j}" for j in range(r.randint(1, 6))), *r.choice(shared), *(f"tail {i} {j}" for j in range(r.randint(1, 4)))])))
+    rows += [(60, "a a\na a\na a\na a"), (61, "c\nd\nc\nd\nc"), (62, "\n\nx y\n\nz\n"), (63, "\n\nx y\n\nz\n"), (64, "x y\nz"), (65, "one line"), (66, " \n\n"), (67, "b\n\n\nb\n")]
+    got = {x.doc_id: (x.text, x.n_removed, x.chunks_removed) for x in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), whole=True).collect()}
+    assert got == brute_runs(rows)
+    assert all(f"passage {k}" not in got[i][0] for i in range(1, 50) for k in range(7)) and got[60][0] == "a a\na a" and got[63][0] == ""
+    assert {x.doc_id: x.n_removed for x in line_dedup.op6_query(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {i: n for i, (_, n, _) in got.items()}
+    assert line_dedup.line_dedup(odd, whole=True).count() == odd.count() and line_dedup.line_dedup(none, whole=True).count() == 0
+
+
 def brute_near(rows, similarity=0.8):
     sets = []
     for i, t, *_ in rows:

@@ -170,3 +170,9 @@ def skips(letters: Column, wanted: str, k: int) -> Column:
     # A hit lies where a part ends; each hit is one letter.
     ends = F.aggregate(parts, F.array().cast("array<bigint>"), lambda a, n: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(-1).cast("bigint")) + n + 1)))
     return F.slice(ends, F.lit(1), F.size(ends) - 1)
+
+
+def sequences(letters: Column, wanted: str, k: int) -> Column:
+    """(i, backwards): where letters at distance ``k`` spell ``wanted``, forwards or backwards; ``i`` is the first place in the text. A word that reads the same in both directions is found once."""
+    found = lambda word, backwards: F.transform(skips(letters, word, k), lambda i: F.struct(i.alias("i"), F.lit(backwards).alias("backwards")))
+    return found(wanted, False) if wanted == wanted[::-1] else F.concat(found(wanted, False), found(wanted[::-1], True))

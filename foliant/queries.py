@@ -224,16 +224,16 @@ _LEADS = " ".join(f"UNION ALL SELECT doc_id, CAST(i AS BIGINT) AS i, CAST({k} AS
 @query(f"""WITH c AS (SELECT doc_id, string_split(regexp_replace(lower(text), '[^a-z]', '', 'g'), '') AS x FROM documents), l AS (SELECT doc_id, unnest(x) AS c, unnest(range(len(x))) AS i FROM c),
 n AS (SELECT doc_id, i, c, {", ".join(f"lead(c, {k}) OVER w AS a{k}, lead(c, {2 * k}) OVER w AS b{k}" for k in range(1, _DILUG + 1))} FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)) {_LEADS.removeprefix("UNION ALL ")}""")
 def dilug(spark, d):
-    """Letters at equal skips."""
+    """Letters at equal skips, in both directions."""
     docs = table(spark, d, "documents").select("doc_id", F.regexp_replace(F.lower("text"), "[^a-z]", "").alias("x"))
-    found = [search.skips(F.col("x"), "zer", k).alias(f"k{k}") for k in range(1, _DILUG + 1)]
+    found = [search.sequences(F.col("x"), "zer", k).alias(f"k{k}") for k in range(1, _DILUG + 1)]
     rows = docs.select("doc_id", *found)
     each = F.explode(F.flatten(F.array(*(F.transform(f"k{k}", _with_skip(k)) for k in range(1, _DILUG + 1)))))
-    return rows.select("doc_id", each.alias("h")).select("doc_id", "h.i", "h.skip")
+    return rows.select("doc_id", each.alias("h")).select("doc_id", "h.i", "h.skip", "h.backwards")
 
 
 def _with_skip(k):
-    return lambda i: F.struct(i.alias("i"), F.lit(k).cast("bigint").alias("skip"))
+    return lambda x: F.struct(x["i"].alias("i"), F.lit(k).cast("bigint").alias("skip"), x["backwards"].alias("backwards"))
 
 
 @query("""WITH r AS (SELECT l_orderkey * 8 + l_linenumber AS edge_no, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_orderkey END AS c1, l_partkey AS c2, l_returnflag FROM lineitem),

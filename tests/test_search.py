@@ -89,3 +89,20 @@ def test_text_functions(spark):
     assert one(tx.located(F.lit("xab"), F.lit(0), F.lit("ab"))) == 1
     assert one(tx.opening(F.lit("abcdef"), 3)) == "abc…"
     assert one(tx.snippet(F.lit("x" * 300 + "MARK" + "y" * 300), F.lit(300), F.lit(4))).startswith("…" + "x" * 55 + "[MARK]y")
+
+
+def test_letter_sequences_are_found_in_both_directions(spark):
+    from foliant import queries
+
+    def brute(text, word, k):
+        ways = [False] if word == word[::-1] else [False, True]
+        return {(i, b) for b in ways for i in range(len(text)) if text[i : i + k * len(word) : k][: len(word)] == (word[::-1] if b else word)}
+
+    for text, word in [("zerezrez", "zer"), ("rxexzxexr", "zer"), ("abababa", "aba"), ("zzz", "z"), ("", "zer"), ("zez", "zer")]:
+        for k in (1, 2, 3):
+            got = spark.range(1).select(search.sequences(F.lit(text), word, k).alias("x")).head().x
+            assert len(got) == len(set(got)) and {(r.i, r.backwards) for r in got} == brute(text, word, k)
+    found = queries.Q["dilug"](spark, "/root/testdata/sf0.001")
+    assert found.columns == ["doc_id", "i", "skip", "backwards"]
+    texts = {r.doc_id: "".join(c for c in r.text.lower() if "a" <= c <= "z") for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    assert {tuple(r) for r in found.collect()} == {(d, i, k, b) for d, x in texts.items() for k in range(1, 5) for i, b in brute(x, "zer", k)}

@@ -15,9 +15,16 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Labelled findings that are made, at most; trees and their depth.
 FINDINGS, TREES, DEPTH = 6000, 40, 8
-CANDIDATE = r"-----BEGIN [A-Z ]*PRIVATE KEY-----|[A-Za-z0-9+/_=.\-]{16,}"
+#: Known forms inside a run, where no letter or digit goes before them.
+KNOWN = r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}(?![A-Za-z0-9_-])|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+)"
+#: A run goes no further than a known form; it does not begin or end with a full stop, and = is in it only as padding at its end, so a name before = is no part of it.
+_KEY = r"[A-Za-z0-9+/_.\-]"
+_PADS = r"(?![A-Za-z0-9+/_=.\-])"
+CANDIDATE = rf"-----BEGIN [A-Z ]*PRIVATE KEY-----|{KNOWN}|(?=[^.]{_KEY}{{13}})(?:(?:(?!{KNOWN}){_KEY}){{16,}}(?<!\.)(?:={{1,2}}{_PADS})?|(?:(?!{KNOWN}){_KEY}){{15}}(?<!\.)={_PADS}|(?:(?!{KNOWN}){_KEY}){{14}}(?<!\.)=={_PADS})"
 BEFORE, AFTER = 48, 24
 #: Rules by form, in this order; the others are ``assigned`` after a key word and ``random`` elsewhere.
 FORMS = {
@@ -48,8 +55,10 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Running sums by doubling: n log n steps for n candidates.
     ends = """aggregate(sequence(0, 30), transform(v.hits, (h, i) -> CAST(length(get(v.gaps, i)) + length(h) AS BIGINT)),
         (s, k) -> IF(shiftleft(1L, k) < size(s), transform(s, (x, i) -> x + IF(i >= shiftleft(1, k), get(s, i - shiftleft(1, k)), 0L)), s))"""
-    found = f"""filter(transform(v.hits, (h, i) -> named_struct('candidate', h, 'begin', get(e, i) - length(h), 'before', right(get(v.gaps, i), {BEFORE}), 'after', left(get(v.gaps, i + 1), {AFTER}))),
-        f -> f.candidate RLIKE '^-----BEGIN |[A-Za-z].*[0-9]|[0-9].*[A-Za-z]')"""
+    # The name of a value may be a long run itself, so what goes before a candidate takes in the run before it.
+    before = f"right(concat(right(coalesce(get(v.gaps, i - 1), ''), {BEFORE}), coalesce(get(v.hits, i - 1), ''), get(v.gaps, i)), {BEFORE})"
+    found = f"""filter(transform(v.hits, (h, i) -> named_struct('candidate', h, 'begin', get(e, i) - length(h), 'before', {before}, 'after', left(get(v.gaps, i + 1), {AFTER}))),
+        f -> f.candidate RLIKE r'^-----BEGIN |^{KNOWN}$|[A-Za-z].*[0-9]|[0-9].*[A-Za-z]')"""
     rows = rows.where(F.col("text").rlike(CANDIDATE))
     each = F.explode_outer(F.expr(f"get(transform({both}, v -> get(transform(array({ends}), e -> {found}), 0)), 0)"))
     return rows.select("id", "path", each.alias("f")).where("f IS NOT NULL").select("id", "path", "f.*")
@@ -99,8 +108,8 @@ def features(found: DataFrame) -> DataFrame:
 
 
 def labelled_findings(spark: SparkSession, n: int = FINDINGS, seed: int = 1) -> DataFrame:
-    """(path, candidate, before, after, label): findings made from rules, the same in each run; a third of them secrets in the contexts that
-    secrets have, the others what scans mistake for them: digests and ids after words that say so, host names, file names, long words, placeholders."""
+    """(path, candidate, before, after, label): what ``candidates`` finds in texts made from rules, the same in each run; a third of the texts hold secrets in the
+    contexts that secrets have, also NAME=value, addresses and sentences, the others what scans mistake for them: digests and ids after words that say so, host names, file names, long words, placeholders."""
     hexes = lambda salt: f"sha2(concat('{salt}', id, '{seed}'), 256)"
     b64 = lambda salt: f"translate(base64(unhex(sha2(concat('{salt}', id, '{seed}'), 512))), '+/=', 'xyZ')"
     pick = lambda words, salt: f"element_at(split('{words}', ','), CAST(pmod(xxhash64(id, '{salt}', {seed}), {len(words.split(','))}) + 1 AS INT))"
@@ -122,6 +131,12 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS, seed: int = 1) ->
         (f"concat('AIza', substring({b64('k')}, 1, 35))", f"{word} || ' '", "' '"),
         ("'-----BEGIN RSA PRIVATE KEY-----'", word + " || '\n'", "'\nMII'"),
         (f"concat('xoxb-', substring({hexes('l')}, 1, 12), '-', substring({b64('m')}, 1, 24))", f"{word} || ' '", "' '"),
+        (f"concat('AKIA', upper(substring(translate({b64('n')}, 'xyZ', '345'), 1, 16)))", "'AWS_ACCESS_KEY_ID='", "'\n'"),
+        (f"concat('AKIA', upper(substring(translate({b64('s')}, 'xyZ', '345'), 1, 16)))", f"'https://s3.example.com/' || {word} || '/'", "'/20240101/us-east-1'"),
+        (f"substring({b64('o')}, 1, 40)", f"'AWS_' || upper({key}) || '_' || upper({key}) || '='", "'\n'"),
+        (f"substring({hexes('p')}, 1, {size})", f"'export APP_' || upper({key}) || '='", "'\n'"),
+        (f"substring({b64('q')}, 1, {size})", f"'https://api.example.com/v2/' || {word} || '?' || {key} || '='", "'&page=2'"),
+        (f"substring({hexes('r')}, 1, 40)", f"{word} || ' ' || {key} || ' is '", "'. ' || " + word),
     ]
     no = [
         (f"substring({hexes('A')}, 1, 40)", f"{other} || ' '", "' ' || " + word),
@@ -135,13 +150,23 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS, seed: int = 1) ->
         (f"concat('release-', CAST(2000 + id % 30 AS STRING), '-0', CAST(1 + id % 9 AS STRING), '-build', CAST(id % 1000 AS STRING))", f"{pick('version,tag,build', 'v')} || ' '", "'\n'"),
         (f"concat({word}, '_', {pick('test,user,page,item', 'y')}, '_', {pick('index,config,default,content', 'z')}, '_', CAST(id % 50 AS STRING))", f"{word} || '('", "')'"),
         (f"substring({b64('F')}, 1, {size})", f"{pick('integrity,sha512,etag', 'g')} || '=\"'", "'\" '"),
+        (f"substring({hexes('G')}, 1, 40)", f"'https://www.example.org/raw2/' || {word} || '?' || {pick('rev,sha1,etag,version', 'v')} || '='", "'&page=2'"),
+        (f"substring({hexes('H')}, 1, {pick('32,40,64', 'l')})", f"upper({other}) || '='", "'\n'"),
+        (f"concat('/usr/local/lib/python3.', CAST(id % 14 AS STRING), '/site-packages')", "'PYTHONPATH='", "'\n'"),
+        (f"substring({hexes('I')}, 1, 40)", f"{word} || ' ' || {other} || ' '", "'. ' || " + word),
     ]
     rows = spark.range(0, n, 1, 1)
     kind, path = F.expr(f"CAST(pmod(id, {len(yes) + 2 * len(no)}) AS INT)"), F.expr(pick(",src/app.py,config/settings.yml,tests/test_app.py,docs/readme.md,yarn.lock,web/app.min.js,.env", "path"))
     part = lambda i: reduce(lambda c, x: c.when(F.col("kind") == x[0], F.expr(x[1])), list(enumerate([y[i] for y in [*yes, *no, *no]]))[1:], F.when(F.col("kind") == 0, F.expr(yes[0][i])))
     out = rows.withColumn("kind", kind).select("id", path.alias("path"), "kind", part(0).alias("c"), part(1).alias("b"), part(2).alias("after"))
-    plain = "kind IN (0, 1, 11, 12, 13)"
-    return out.select("path", F.expr(f"IF({plain}, {cased('c', 'u')}, c)").alias("candidate"), F.expr(f"right(IF({plain}, {cased('b', 'u')}, b), {BEFORE})").alias("before"), F.expr(f"left(after, {AFTER})").alias("after"), (F.col("kind") < len(yes)).cast("double").alias("label"))
+    plain = f"kind IN (0, 1, {len(yes)}, {len(yes) + 1}, {len(yes) + 2})"
+    out = out.select("path", "kind", F.expr(f"IF({plain}, {cased('c', 'u')}, c)").alias("c"), F.expr(f"IF({plain}, {cased('b', 'u')}, b)").alias("b"), "after")
+    # Written, as the expressions of the rules are long, and each use of a column copies them.
+    out = written(out, "op1-findings")
+    key_ = F.struct((F.col("kind") < len(yes)).alias("secret"), F.col("c"), F.length("b").alias("begin"))
+    found = candidates(out.select(key_.alias("key"), "path", F.concat("b", "c", "after").alias("text")), "key", path_col="path")
+    label = F.col("id.secret") & (F.col("id.c") == F.col("candidate")) & (F.col("id.begin") == F.col("begin"))
+    return found.select("path", "candidate", "before", "after", label.cast("double").alias("label"))
 
 
 def trained(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = 1) -> RandomForestClassificationModel:

@@ -128,7 +128,7 @@ class Codec:
         ranks = self.ranks
         return [array("I", [self.id_at[i]] if i >= 0 else merged(w, ranks)).tobytes() for w, i in zip(raw, self.hash.find(raw), strict=True)]
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if self.memory is None:
             self.memory = UnitMemory(by_pieces(self.pattern.findall, self.encode_words))
         return self.memory.ids(texts)
@@ -158,7 +158,7 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = held(f"bpe-{key}", lambda: Codec(*shipped.value))
         for batch in batches:
-            flat, per = codec.encode(batch.column(1).to_pylist())
+            flat, per = codec.encode(batch.column(1))
             ends = np.cumsum(per)
             columns = [batch.column(0), pa.array(per, pa.int64())]
             names = ["doc_id", "n_tokens"]

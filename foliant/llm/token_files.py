@@ -11,14 +11,13 @@ the lane states (64 bits each); the words (32 bits each); the document list as a
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -27,13 +26,15 @@ from pyspark.sql.window import Window
 
 from .common import fresh_dir, held, small_batches, written
 from .files import make_dir, new_file, opened
-from .units import UnitMemory, by_pieces
+from .units import UnitMemory
 
 MAGIC = b"TKRANS01"
 #: Bits of the frequency table's total; lanes of a block; ids after which a block ends.
 BITS, LANES, BLOCK_IDS = 20, 2048, 1 << 19
 _LOW = np.uint64(1 << 31)
 _32 = np.uint64(32)
+#: Units that go to the library at once.
+LINES = 256
 
 
 class Table:
@@ -135,18 +136,8 @@ def read_block(raw: bytes, table: Table) -> tuple[np.ndarray, pa.RecordBatch]:
     return uncoded(state, words, n, table), docs
 
 
-#: A unit of such characters only is split into pre-tokens here; the library splits any other itself.
-_PLAIN = re.compile(r"[ -~\n\u00c0-\u024f]*\Z")
-_SPLIT = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-
-
-def pieces(unit: str) -> list[str]:
-    """The pre-tokens of a unit; put together they are the unit."""
-    return _SPLIT.findall(unit) if _PLAIN.match(unit) else [unit]
-
-
 class _Encoder:
-    """ids(texts), as in UnitMemory, by the library's contract: a text that holds the content of an added token goes to the library whole, since the token can span units."""
+    """ids(column), as in UnitMemory, by the library's contract: a text that holds the content of an added token goes to the library whole, since the token can span units."""
 
     def __init__(self, tokenizer: bytes) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -156,15 +147,38 @@ class _Encoder:
         self.added = [x.content for x in self.whole.get_added_tokens_decoder().values()]
         # Units of the other texts hold no added token, so nothing need be looked for in them.
         t.encode_special_tokens = True
-        self.memory = UnitMemory(by_pieces(pieces, lambda new: [array("I", e.ids).tobytes() for e in t.encode_batch_fast(new, add_special_tokens=False)]))
-
-    def ids(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        odd = [i for i, x in enumerate(texts) if x and any(a in x for a in self.added)]
-        if not odd:
-            return self.memory.ids(texts)
-        got = [np.array(e.ids, "<u4") for e in self.whole.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False)]
-        skip = set(odd)
-        flat, per = self.memory.ids([None if i in skip else x for i, x in enumerate(texts)])
+        self.plain, self.line = t, np.array(t.encode("\n", add_special_tokens=False).ids, "<u4")
+        self.memory = UnitMemory(self._encode)
+
+    def _encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Units go to the library in lines, many at once: a line end after and before what is no white space is a pre-token, and its id shows where a unit ends."""
+        lone = [i for i, u in enumerate(units) if "\n" in u or u[-1].isspace() or (u[0].isspace() and (u[0] != " " or u[1].isspace()))]
+        groups, at = [], 0
+        for i in [*lone, len(units)]:
+            groups += [units[j : min(j + LINES, i)] for j in range(at, i, LINES)] + [units[i : i + 1]] * (i < len(units))
+            at = i + 1
+        flat, length = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for group, e in zip(groups, self.plain.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            if len(group) > 1:
+                ends = np.flatnonzero(ids == self.line)
+                if len(ends) != len(group) - 1:
+                    raise ValueError("units of a line do not come apart")
+                length.append(np.diff(np.concatenate([[-1], ends, [len(ids)]])) - 1)
+                ids = np.delete(ids, ends)
+            else:
+                length.append(np.array([len(ids)]))
+            flat.append(ids)
+        return np.concatenate(flat), np.concatenate(length)
+
+    def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        odd = np.zeros(len(column), dtype=bool)
+        for a in self.added:
+            odd |= pc.match_substring(column, a).fill_null(False).to_numpy(zero_copy_only=False)
+        if not odd.any():
+            return self.memory.ids(column)
+        got = [np.array(e.ids, "<u4") for e in self.whole.encode_batch_fast(column.filter(pa.array(odd)).to_pylist(), add_special_tokens=False)]
+        flat, per = self.memory.ids(pc.if_else(pa.array(odd), pa.scalar(None, column.type), column))
         sizes = [len(x) for x in got]
         flat = np.insert(flat, np.repeat(np.cumsum(per)[odd], sizes), np.concatenate(got))
         per[odd] = sizes
@@ -181,7 +195,7 @@ def token_rows(docs: DataFrame, tokenizer: bytes, end_id: int, id_col: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory, press = held(f"tokens-{zlib.crc32(shipped.value)}", lambda: _Encoder(shipped.value)), zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            flat, per = memory.ids(batch.column(1).to_pylist())
+            flat, per = memory.ids(batch.column(1))
             flat = np.insert(flat, np.cumsum(per), end_id).astype("<u4")
             ends = np.cumsum(per + 1)
             raw, cut = memoryview(flat.tobytes()), [0, *ends.tolist()]

@@ -4,13 +4,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 
-from foliant.llm import bpe, token_files, warc
+from foliant.llm import bpe, token_files, units, warc
 from foliant.llm.files import opened
 from foliant.llm.queries import tokenizer_path
-from foliant.llm.units import UnitMemory, exact_units
 
 P = pytest.importorskip("public_tokenizers")
 PIECES = ["a", "b", " ", "  ", "\n", " \n", "\t", "é", "ß", "中文", "1", "²", ".", "'s", "'t", "’", " ", "　", "\x1c", "\x85", "😀", "_", "The", "Ⅷ", "̀", "\r\n", "\x00"]
@@ -29,7 +29,7 @@ def ranks():
 def test_codec_is_tiktoken_and_decodes(ranks):
     codec, own = bpe.Codec(ranks, P.PATTERN), tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     all_ = texts(4000)
-    flat, per = codec.encode(all_)
+    flat, per = codec.encode(pa.array(all_))
     at = np.concatenate([[0], np.cumsum(per)])
     for i, t in enumerate(all_):
         ids = flat[at[i] : at[i + 1]]
@@ -44,14 +44,30 @@ def test_perfect_hash_is_minimal_and_rejects_others(ranks):
     assert set(h.find(["certainly not a key ".encode() + bytes([i]) for i in range(200)])) == {-1}
 
 
-def test_units_and_a_small_memory():
-    all_ = texts(2000, 2)
-    for t in all_:
-        assert "".join(exact_units(t)) == t
-    memory = UnitMemory(lambda units: [np.frombuffer(u.encode("utf-32-le"), "<u4").tobytes() for u in units], most_units=50, most_ids=300)
-    for i in range(0, 2000, 40):
-        flat, per = memory.ids([*all_[i : i + 40], None])
-        assert flat.tolist() == [ord(c) for t in all_[i : i + 40] for c in t] and per.tolist() == [*map(len, all_[i : i + 40]), 0]
+def test_units_and_a_small_memory(monkeypatch):
+    all_ = [*texts(2000, 2), "long " * 400, "x" * 900, None]
+    encode = lambda units: (np.frombuffer("".join(units).encode("utf-32-le"), "<u4"), np.array([len(u) for u in units]))
+    own = units.span_hashes
+    for chunk, hashes in ((64, own), (1 << 20, own), (64, lambda d, s, e: own(d, s, e) % np.uint64(7) << np.uint64(61))):
+        monkeypatch.setattr(units, "CHUNK", chunk)
+        monkeypatch.setattr(units, "span_hashes", hashes)
+        memory = units.UnitMemory(encode, most_units=50, most_ids=300)
+        for i in range(0, len(all_), 40):
+            part = all_[i : i + 40]
+            flat, per = memory.ids(pa.array([None, *part, None]).slice(1))
+            assert flat.tolist() == [ord(c) for t in part for c in t or ""] and per.tolist() == [*(len(t or "") for t in part), 0]
+
+
+def test_units_are_cut_where_the_pattern_never_matches_across():
+    import regex
+
+    pattern = regex.compile(P.PATTERN)
+    for t in [*texts(4000, 3), "It's 3 o'clock, isn't it?\n\n  Yes.\t'so' a.'s x\u00a0y \u2003z", "'. 's", "a  b \n c"]:
+        data = np.frombuffer(t.encode(), np.uint8)
+        if len(data):
+            at = [*units.unit_starts(data, np.array([0])).tolist(), len(data)]
+            cut = [bytes(data[a:b]).decode() for a, b in zip(at, at[1:])]
+            assert [w for u in cut for w in pattern.findall(u)] == pattern.findall(t)
 
 
 def test_encoded_rows(odd, odd_rows, none, ranks):
@@ -155,3 +171,27 @@ def test_warc_without_pages_and_with_a_broken_file(spark, tmp_path):
     (tmp_path / "b.warc").write_bytes(b"no record" + good)
     files = spark.createDataFrame([(f"file://{tmp_path}/{n}.warc", (tmp_path / f"{n}.warc").stat().st_size, 1) for n in "ab"], "path string, bytes long, records long")
     assert [r.page_id for r in warc.read_warc(files).collect()] == ["1"]
+
+
+def test_warc_with_very_long_urls(spark):
+    rows = [(i, f"http://a/{i}", f"page {i} " * 30) for i in range(20)]
+    rows[3] = (3, "u" * 1_000_000, "after a long address " * 80)
+    rows[7] = (7, "%" * 30_000, "WARC/1.1\r\n" * 3000)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    got = warc.op2_query(pages).collect()
+    assert Counter((x.page_id, x.payload_bytes, x.record_type) for x in got) == Counter((i, len(h), "response") for i, _, h in rows)
+    files = warc.write_warc(pages)
+    for size in (1000, 100_000):
+        urls = {x.page_id: x.url for x in warc.read_warc(files, range_bytes=size, whole=True).collect()}
+        assert len(urls) == 20 and urls["3"] == rows[3][1] and urls["7"] == "%25" * 30_000
+
+
+def test_warc_that_lacks_records_is_reported(spark, tmp_path):
+    good = warc.record_bytes([("WARC-Type", "response"), ("X-Page-ID", "1")], b"abc")
+    (tmp_path / "a.warc").write_bytes(good + good[:-1] + b"x" + good)
+    at = f"file://{tmp_path}/a.warc"
+    listed = lambda n: spark.createDataFrame([(at, 3 * len(good), n)], "path string, bytes long, records long")
+    (tmp_path / "a.warc").write_bytes(good + b"?" * len(good) + good)
+    with pytest.raises(ValueError, match="3 records, 1 are reached"):
+        warc.read_warc(listed(3), whole=True)
+    assert warc.read_warc(listed(None), whole=True).count() == 1

@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,10 +28,10 @@ MAGIC = b"WARC/1.1\r\n"
 REVISIT_BYTES = 1000
 #: A file ends after so many bytes; a task reads a range of so many.
 FILE_BYTES, RANGE_BYTES = 256 << 20, 8 << 20
-#: A header block is no longer than this.
+#: So much is read at once where a header block is looked for; a longer one is read on.
 HEADER_BYTES = 64 << 10
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_LENGTH = re.compile(rb"^content-length:[ \t]*(\d+)[ \t]*$", re.I | re.M)
+_LENGTH = re.compile(rb"\r\ncontent-length:[ \t]*(\d{1,18})[ \t]*(?=\r\n)", re.I)
 
 
 def record_bytes(fields: list[tuple[str, str]], payload: bytes) -> bytes:
@@ -59,7 +60,7 @@ def write_warc(pages: DataFrame, folder: str | None = None, id_col: str = "page_
 
     The payload is the body in UTF-8; a null body is empty, a null url is left out, and so is a null id. Rows that repeat id and body of a
     response are responses again. An empty table writes no file. Other columns are not read. A task that is run again writes files
-    of other names, and the list has those of one attempt only. The pages are not moved, unless those that revisit are too many to broadcast.
+    of other names, and the list has those of one attempt only. Urls and bodies may have any length; line ends, control and percent signs of a url are escaped. The pages are not moved, unless those that revisit are too many to broadcast.
     """
     spark = pages.sparkSession
     small_batches(spark, 500)
@@ -98,36 +99,58 @@ def write_warc(pages: DataFrame, folder: str | None = None, id_col: str = "page_
     return written(rows.mapInArrow(run, "path string, bytes bigint, records bigint"), "op2-files")
 
 
-def successor(head: bytes) -> tuple[int, int] | None:
-    """(bytes of the header block, bytes of the whole record) for a record that begins with ``head``, or None where none can begin."""
-    if not head.startswith(MAGIC):
-        return None
-    end = head.find(b"\r\n\r\n")
-    if end < 0:
-        return None
-    found = _LENGTH.search(head[:end].replace(b"\r\n", b"\n"))
-    return (end + 4, end + 4 + int(found[1]) + 4) if found else None
+def read_to_blank(f, at: int, size: int) -> bytes:
+    """The bytes from ``at`` up to a blank line at least, if there is one; each byte is looked through once."""
+    f.seek(at)
+    raw, seen = bytearray(), 0
+    while at + len(raw) < size:
+        more = f.read(min(max(HEADER_BYTES, len(raw)), size - at - len(raw)))
+        if not more:
+            break
+        raw += more
+        if raw.find(b"\r\n\r\n", seen) >= 0:
+            break
+        seen = max(0, len(raw) - 3)
+    return bytes(raw)
 
 
 def in_range(f, begin: int, end: int, size: int) -> list[tuple[int, int]]:
-    """(place, end of its record) of every place in [begin, end) where a record could begin, payloads included."""
+    """(place, end of its record) of every place in [begin, end) where a record could begin, payloads included. A header block ends at the first blank line after its
+    beginning, however far that is; blank lines and lengths are found once for the range, so a payload full of beginnings costs no more than another."""
     f.seek(begin)
-    raw = f.read(min(size, end + HEADER_BYTES) - begin)
-    out, at = [], raw.find(MAGIC)
-    while 0 <= at < end - begin:
-        if (found := successor(raw[at : at + HEADER_BYTES])) and begin + at + found[1] <= size:
-            out.append((begin + at, begin + at + found[1]))
-        at = raw.find(MAGIC, at + 1)
+    raw = f.read(min(size, end + len(MAGIC) - 1) - begin)
+    starts = [m.start() for m in re.finditer(re.escape(MAGIC), raw) if m.start() < end - begin]
+    if not starts:
+        return []
+    raw += read_to_blank(f, begin + len(raw), size) if raw.find(b"\r\n\r\n", starts[-1]) < 0 else b""
+    blanks = [m.start() for m in re.finditer(rb"\r\n(?=\r\n)", raw)]
+    lengths = [(m.start(), m.end(), int(m[1])) for m in _LENGTH.finditer(raw)]
+    at = [x[0] for x in lengths]
+    out = []
+    for start in starts:
+        b, n = bisect_left(blanks, start + len(MAGIC) - 2), bisect_left(at, start + len(MAGIC) - 2)
+        if b < len(blanks) and n < len(lengths) and lengths[n][1] <= blanks[b] and begin + (after := blanks[b] + 4 + lengths[n][2] + 4) <= size:
+            out.append((begin + start, begin + after))
     return out
 
 
+def head_of(f, at: int, size: int) -> tuple[bytes, int, int] | None:
+    """(what was read, bytes of the header block, bytes of the whole record) of the record at a place, or None where none begins."""
+    raw = read_to_blank(f, at, size)
+    end = raw.find(b"\r\n\r\n")
+    if not raw.startswith(MAGIC) or end < 0:
+        return None
+    found = _LENGTH.search(raw, len(MAGIC) - 2, end + 2)
+    return (raw, end + 4, end + 4 + int(found[1]) + 4) if found else None
+
+
 def ranges(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     rows = files.where("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(bytes - 1) div {range_bytes}"))).alias("no"))
     return rows.repartition(max(1, files.sparkSession.sparkContext.defaultParallelism * 4), "path", "no")
 
 
 def candidates(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """(path, no, place, leaves): the candidates of all ranges; ``leaves`` is where the chain from there leaves its range."""
+    """(path, no, place, leaves, n): the candidates of all ranges; ``leaves`` is where the chain from there leaves its range, -1 if it breaks, and n its records in the range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,18 +158,19 @@ def candidates(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
                 begin, end = r["no"] * range_bytes, min(r["bytes"], (r["no"] + 1) * range_bytes)
                 with opened(r["path"]) as f:
                     found = in_range(f, begin, end, r["bytes"])
-                out: dict[int, int] = {}
+                out: dict[int, tuple[int, int]] = {}
                 for place, after in reversed(found):
                     # A successor inside the range that is no candidate leads nowhere.
-                    out[place] = after if after >= end else out.get(after, -1)
+                    leaves, n = (after, 0) if after >= end else out.get(after, (-1, 0))
+                    out[place] = leaves, n + 1
                 at = list(out)
-                yield pa.RecordBatch.from_arrays([pa.array([r["path"]] * len(at), pa.string()), pa.array([r["no"]] * len(at), pa.int64()), pa.array(at, pa.int64()), pa.array([out[x] for x in at], pa.int64())], names=["path", "no", "place", "leaves"])
+                yield pa.RecordBatch.from_arrays([pa.array([r["path"]] * len(at), pa.string()), *(pa.array(x, pa.int64()) for x in ([r["no"]] * len(at), at, [x for x, _ in out.values()], [n for _, n in out.values()]))], names=["path", "no", "place", "leaves", "n"])
 
-    return ranges(files, range_bytes).mapInArrow(run, "path string, no bigint, place bigint, leaves bigint")
+    return ranges(files, range_bytes).mapInArrow(run, "path string, no bigint, place bigint, leaves bigint, n bigint")
 
 
 def entries(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """(path, place): where the chain from each file's start enters the file's ranges, by pointer jumping."""
+    """(path, place, n): where the chain from each file's start enters the file's ranges, by pointer jumping, and how many of its records begin in that range."""
     found = written(candidates(files, range_bytes), "op2-candidates")
     start = files.where("bytes > 0").select("path", F.lit(0).cast("bigint").alias("place"))
     # Only a place that some candidate leads to, or a file's start, can be an entry.
@@ -159,16 +183,29 @@ def entries(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
         reached = written(reached.union(ahead).distinct(), "op2-reached")
         twice = jump.select("path", "place", "to").join(jump.select("path", F.col("place").alias("to"), F.col("to").alias("next")), ["path", "to"])
         jump = written(twice.select("path", "place", F.col("next").alias("to")).union(jump.join(twice.select("path", "place"), ["path", "place"], "left_anti").select("path", "place", F.lit(-1).cast("bigint").alias("to"))), "op2-jumps")
-    return reached
+    return written(reached.join(found.select("path", "place", "n"), ["path", "place"]), "op2-entries")
+
+
+def check_whole(files: DataFrame, into: DataFrame) -> None:
+    """Raises if from any file other than so many records are reached as its list says (null: not known)."""
+    got = into.groupBy("path").agg(F.sum("n").alias("n"))
+    off = files.where("records IS NOT NULL").join(got, "path", "left").where("coalesce(n, 0) <> records").select("path", "records", F.coalesce("n", F.lit(0)).alias("n")).head()
+    if off:
+        raise ValueError(f"{off.path} was written with {off.records} records, {off.n} are reached")
+
 
 
-def read_warc(files: DataFrame, range_bytes: int = RANGE_BYTES, bodies: bool = False) -> DataFrame:
+def read_warc(files: DataFrame, range_bytes: int = RANGE_BYTES, bodies: bool = False, whole: bool = False) -> DataFrame:
     """A row for every record that the chains reach: path, place, page_id, url, record_type, refers_to, payload_bytes, payload_digest and, if asked for, body.
 
     A response's length and digest are those of the payload read, and must be those in its header; a revisit's are from its header.
-    A file whose start is no record gives no row; what follows a broken record is not reached. A missing id or url is null.
+    A file whose start is no record gives no row; what follows a broken record is not reached; with ``whole``, either raises if the list of files says how many records a file has.
+    Header blocks and payloads may have any length. A missing id or url is null. An empty list gives an empty result.
     """
-    into = entries(files, range_bytes).join(files.select("path", "bytes"), "path").repartition(max(1, files.sparkSession.sparkContext.defaultParallelism * 4), "path", "place")
+    into = entries(files, range_bytes)
+    if whole:
+        check_whole(files, into)
+    into = into.select("path", "place").join(files.select("path", "bytes"), "path").repartition(max(1, files.sparkSession.sparkContext.defaultParallelism * 4), "path", "place")
     kinds = [("path", pa.string()), ("place", pa.int64()), ("page_id", pa.string()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())] + [("body", pa.binary())] * bodies
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,11 +214,9 @@ def read_warc(files: DataFrame, range_bytes: int = RANGE_BYTES, bodies: bool = F
                 at, end, rows = r["place"], min(r["bytes"], (r["place"] // range_bytes + 1) * range_bytes), []
                 with opened(r["path"]) as f:
                     while at < end:
-                        f.seek(at)
-                        head = f.read(HEADER_BYTES)
-                        if not (found := successor(head)):
+                        if not (found := head_of(f, at, r["bytes"])):
                             break
-                        first, whole = found
+                        head, first, whole = found
                         f.seek(at + first)
                         body = head[first : whole - 4] if whole <= len(head) else f.read(whole - 4 - first)
                         if at + whole > r["bytes"] or len(body) != whole - 4 - first:
@@ -208,4 +243,4 @@ def read_warc(files: DataFrame, range_bytes: int = RANGE_BYTES, bodies: bool = F
 
 def op2_query(pages: DataFrame) -> DataFrame:
     kind = pages.schema["page_id"].dataType.simpleString()
-    return read_warc(write_warc(pages)).select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+    return read_warc(write_warc(pages), whole=True).select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))

@@ -21,16 +21,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import held, small_batches
+from .common import held, small_batches, written
+from .units import Units, _Rows
 
 #: Bound of what a model is fitted to: documents of each language, a quarter of them for calibration. Nothing else is bounded.
 SAMPLE_DOCS = 560
 ORDER = 5
-#: Tokens that a worker remembers at most.
-MOST_TOKENS = 600_000
+#: Languages that are learned at most: those with most labelled texts.
+MOST_LANGS = 200
+#: Units of text that a worker remembers at most, and costs of these; a cost is a whole number of steps.
+MOST_TOKENS, MOST_CELLS, STEPS = 600_000, 4_000_000, 1 << 20
 UNKNOWN = "und"
 #: A mean over n characters strays by this, divided by the root of n, before a text is rejected: a key or a number makes much of a short text.
-STRAY = 10.0
+STRAY = 15.0
 _MUL, _EDGE = np.uint64(0x9E3779B97F4A7C15), 32
 _LETTERS = regex.compile(r"\p{L}+")
 
@@ -165,7 +168,7 @@ class Models:
         return lang, np.where(none, 0.0, score), np.where(none, np.nan, low), none | (low > self.most[best] + STRAY / np.sqrt(np.maximum(n, 1)))
 
     def calibrate(self, texts: list[str], langs: list[str]) -> None:
-        """Sets the scale with the least log loss, and for each language the cross-entropy beyond which a text is rejected: well above the highest of its calibration texts."""
+        """Sets the scale with the least log loss, and for each language the cross-entropy beyond which a text is rejected: well above what its calibration texts show, by quantiles that a few odd texts among them do not move."""
         h, n = self.entropies(texts)
         ok = n > 0
         h, truth = h[ok], np.asarray([self.langs.index(x) for x, k in zip(langs, ok, strict=True) if k], dtype=np.int64)
@@ -178,72 +181,62 @@ class Models:
         for i in range(len(self.langs)):
             own = h[best == i, i]
             if len(own):
-                self.most[i] = max(own.max() * 1.25, own.mean() + 8 * own.std())
+                low, mid, high = np.quantile(own, [0.25, 0.5, 0.9])
+                self.most[i] = max(high * 1.5, mid + 8 * (mid - low))
 
 
-class _Tokens(dict):
-    """Numbers of tokens, and the costs of each number; bounded, what was met first stays."""
+class _Tokens:
+    """The costs of units of text, by number; sums of whole steps, so they do not depend on the order. No unit splits a run of letters."""
 
     def __init__(self, models: Models) -> None:
-        super().__init__()
-        self.models, self.new = models, []
-        self.cost, self.length = np.zeros((0, len(models.langs)), np.float32), np.zeros(0, np.int64)
+        self.models = models
+        self.cost, self.length = _Rows(np.int64, max(1, len(models.langs))), _Rows(np.int64)
+        self.units = Units(self._learn, self._kept, min(MOST_TOKENS, max(1, MOST_CELLS // max(1, len(models.langs)))))
 
-    def __missing__(self, token: str) -> int:
-        n = self[token] = len(self.length) + len(self.new)
-        self.new.append(token)
-        return n
-
-    def _learn(self) -> None:
-        if not self.new:
-            return
-        words = [_LETTERS.findall(t) for t in self.new]
+    def _learn(self, units: list[str]) -> None:
+        words = [_LETTERS.findall(t) for t in units]
         cost, length = self.models.costs([w for ws in words for w in ws])
-        ends = np.concatenate([[0], np.cumsum([len(ws) for ws in words])])
-        cost = np.concatenate([np.zeros((1, cost.shape[1])), np.cumsum(cost, axis=0, dtype=np.float64)])
+        ends = np.cumsum([len(ws) for ws in words])
+        begins = np.concatenate([[0], ends[:-1]])
+        steps = np.zeros((len(cost) + 1, max(1, len(self.models.langs))), np.int64)
+        steps[1:, : cost.shape[1]] = np.cumsum(np.rint(cost * STEPS).astype(np.int64), axis=0)
         length = np.concatenate([[0], np.cumsum(length)])
-        self.cost = np.concatenate([self.cost, (cost[ends[1:]] - cost[ends[:-1]]).astype(np.float32)])
-        self.length = np.concatenate([self.length, length[ends[1:]] - length[ends[:-1]]])
-        self.new = []
+        self.cost.add(steps[ends] - steps[begins])
+        self.length.add(length[ends] - length[begins])
+
+    def _kept(self, stay: np.ndarray) -> None:
+        self.cost.keep(self.cost.all[stay])
+        self.length.keep(self.length.all[stay])
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        numbers = []
-        for t in texts:
-            tokens = t.lower().split() if t else []
-            numbers.append(np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens)))
-        self._learn()
-        h, n = np.zeros((len(texts), self.cost.shape[1])), np.zeros(len(texts), np.int64)
-        for i, at in enumerate(numbers):
-            n[i] = self.length[at].sum()
-            if n[i]:
-                h[i] = self.cost[at].sum(axis=0, dtype=np.float64) / n[i]
-        if len(self.length) > MOST_TOKENS:
-            first = len(self.length) * 2 // 3
-            kept = {k: v for k, v in self.items() if v < first}
-            self.clear()
-            self.update(kept)
-            self.cost, self.length = self.cost[:first].copy(), self.length[:first].copy()
-        return h, n
-
-
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, order: int = ORDER) -> Models:
-    """Models from a bounded sample of the labelled rows, the same in each run: of each language the ``sample_docs`` documents
-    whose ids have the smallest hashes; whole texts. Every fourth of them serves for calibration. Rows without text or language are left out. The models of the languages are
-    trained in parallel; what comes to the driver are the models and the calibration texts, both bounded by that parameter.
+        k = len(self.models.langs)
+        sums, n = np.zeros((len(texts), k), np.int64), np.zeros(len(texts), np.int64)
+        for numbers, of in self.units.walk(pa.array([None if t is None else t.lower() for t in texts], pa.large_string())):
+            first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+            sums[of[first]] += np.add.reduceat(self.cost.all[numbers], first, axis=0)[:, :k]
+            n[of[first]] += np.add.reduceat(self.length.all[numbers], first)
+        return sums / STEPS / np.maximum(n, 1)[:, None], n
+
+
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, order: int = ORDER, most_langs: int = MOST_LANGS) -> Models:
+    """Models from a bounded sample of the labelled rows, the same in each run: of each language the ``sample_docs`` pairs of id and
+    text with the smallest hashes; whole texts. Every fourth of them serves for calibration. Rows without language or without a letter in the text do not
+    count; rows that repeat an id and a text count once; a null or a repeated id is like any other. Of more than ``most_langs`` languages those with most such
+    texts are learned, of equals the first by name. The models are trained in parallel; what comes to the driver are the models and the calibration
+    texts, both bounded by these parameters. An empty table gives models that know no language.
     """
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    # One row a language. Of a language's rows only about three times as many as are wanted go into the window, by their hashes, however many there are.
-    counts = labelled.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).agg((3.0 * sample_docs / F.count(F.lit(1))).alias("part"))
-    near = rows.select("id", "lang").join(F.broadcast(counts), "lang").where(F.shiftrightunsigned(F.xxhash64("id"), 11) / float(1 << 53) < F.col("part")).drop("part")
+    place = F.shiftrightunsigned("h", 11) / float(1 << 53)
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("h", F.xxhash64("id", "text"))
+    # One row a language. Only about three times as many texts of a language as are wanted are ranked, by their hashes, however many there are.
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.05).alias("texts")).orderBy(F.desc("texts"), "lang").limit(most_langs)
+    counts = written(counts.select("lang", (3.0 * sample_docs / F.col("texts")).alias("part")), "op3-languages")
+    near = rows.join(F.broadcast(counts), "lang").where(place < F.col("part")).groupBy("lang", "h").agg(F.min(F.struct("id", "text")).alias("r"))
     # The window goes by the same hash without its sign, so those with the smallest are all there.
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned(F.xxhash64("id"), 11), "id"))
-    chosen = near.withColumn("n", rank).where(F.col("n") <= sample_docs)
-    # At most sample_docs rows for each language: bounded, so broadcast.
-    sample = rows.join(F.broadcast(chosen), ["id", "lang"]).dropDuplicates(["lang", "n"]).persist()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned("h", 11), "h"))
+    sample = written(near.withColumn("n", rank).where(F.col("n") <= sample_docs).select("lang", "n", F.col("r.text").alias("text")), "op3-sample")
     model = sample.where(F.col("n") % 4 != 0).groupBy("lang").applyInPandas(lambda key, x: trained(x.sort_values("n")["text"].tolist(), order).assign(lang=key[0]), "hash long, share double, rest double, lang string")
     rows_of = model.toPandas()
     held = sample.where(F.col("n") % 4 == 0).orderBy("lang", "n").toPandas()
-    sample.unpersist()
     models = Models(sorted(set(rows_of["lang"])), rows_of, order)
     if models.langs:
         held = held[held["lang"].isin(models.langs)]

@@ -18,14 +18,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, small_batches, written
+from .common import small_batches, written
+from .units import CHUNK, mixed, span_hashes, text_bytes
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.999
 #: A block has so many members, and so many n-grams, on average at most.
 BLOCK_MEMBERS, BLOCK_GRAMS = 1024, 1 << 21
-#: Words that a worker remembers at most.
-MOST_WORDS = 600_000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
+_WHITE = np.zeros(256, dtype=bool)
+_WHITE[[32, *range(9, 14)]] = True
 
 
 def choose_bands(similarity: float = SIMILARITY, recall: float = RECALL, most_hashes: int = 144) -> tuple[int, int]:
@@ -38,36 +39,54 @@ def choose_bands(similarity: float = SIMILARITY, recall: float = RECALL, most_ha
     return bands, rows
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def gram_set(text: str | None, n: int = WORDS) -> np.ndarray:
-    """The sorted 64-bit hashes of a text's word n-grams; a text of fewer words has one, of all its words, and one without words none."""
-    words = text.encode("utf-8", "surrogatepass").split() if text else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    known = held("words", _Words)
-    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    if len(known) > MOST_WORDS:
-        known.clear()
-    k = min(n, len(h))
-    out = np.zeros(len(h) - k + 1, dtype=np.uint64)
+def word_hashes(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words, text of each) of the texts that begin at ``begins`` (each once); words are what ASCII white space parts."""
+    hashes, texts, pos, size = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0, CHUNK
+    while pos < len(data):
+        part = data[pos : pos + size]
+        white = _WHITE[part]
+        first = np.zeros(len(part) + 1, dtype=bool)
+        first[begins[np.searchsorted(begins, pos) : np.searchsorted(begins, pos + len(part), "right")] - pos] = True
+        start = np.flatnonzero(~white & (first[:-1] | np.concatenate([[True], white[:-1]])))
+        last = pos + len(part) == len(data)
+        end = np.flatnonzero(~white & (first[1:] | np.concatenate([white[1:], [last]]))) + 1
+        # A word that the part does not end is left for the next part.
+        if len(start) > len(end):
+            part, start = part[: start[-1]], start[:-1]
+            if not len(part):
+                size *= 2
+                continue
+        hashes.append(span_hashes(part, start, end))
+        texts.append(np.searchsorted(begins, start + pos, "right") - 1)
+        pos, size = pos + len(part), CHUNK
+    return np.concatenate(hashes), np.concatenate(texts)
+
+
+def gram_sets(column: pa.Array, n: int = WORDS) -> list[np.ndarray]:
+    """For each text the sorted 64-bit hashes of its word n-grams; a text of fewer words has one, of all its words, and one without words none."""
+    data, at = text_bytes(column)
+    some = np.flatnonzero(at[1:] > at[:-1])
+    h, of = word_hashes(data, at[:-1][some])
+    words = np.bincount(some[of], minlength=len(column)) if len(of) else np.zeros(len(column), np.int64)
+    begin = np.cumsum(words) - words
+    count = np.where(words > n, words - n + 1, np.minimum(words, 1))
+    grams = np.zeros(int(count.sum()), np.uint64)
+    to = np.cumsum(count) - count
     with np.errstate(over="ignore"):
-        for i in range(k):
-            out = out * _MUL + h[i : len(h) - k + 1 + i]
-        out = _mixed(out + np.uint64(k))
-    out.sort()
-    return out[np.concatenate([[True], out[1:] != out[:-1]])]
+        for k in range(1, n + 1):
+            own = np.flatnonzero(words >= n) if k == n else np.flatnonzero(words == k)
+            if not len(own):
+                continue
+            place = np.arange(int(count[own].sum())) - np.repeat(np.cumsum(count[own]) - count[own], count[own])
+            source, out = np.repeat(begin[own], count[own]) + place, np.zeros(len(place), np.uint64)
+            for i in range(k):
+                out = out * _MUL + h[source + i]
+            grams[np.repeat(to[own], count[own]) + place] = mixed(out + np.uint64(k))
+    sets = [grams[a : a + c] for a, c in zip(to.tolist(), count.tolist(), strict=True)]
+    for i, x in enumerate(sets):
+        x.sort()
+        sets[i] = x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+    return sets
 
 
 def band_hashes(sets: list[np.ndarray], bands: int, rows: int, seed: int = 5) -> np.ndarray:
@@ -91,7 +110,7 @@ def band_hashes(sets: list[np.ndarray], bands: int, rows: int, seed: int = 5) ->
             for r in range(rows):
                 np.multiply(low, mul[b * rows + r], out=value)
                 value += add[b * rows + r]
-                acc = _mixed(acc * _MUL + np.minimum.reduceat(value, begin))
+                acc = mixed(acc * _MUL + np.minimum.reduceat(value, begin))
             out[at, b] = acc
     return out
 
@@ -102,7 +121,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, n: int, id_col: str, text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [gram_set(t, n) for t in batch.column(1).to_pylist()]
+            sets = gram_sets(batch.column(1), n)
             hashes = band_hashes(sets, bands, rows).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(list(map(np.ndarray.tobytes, hashes)), pa.binary())], names=["id", "key", "grams", "bands"])
 
@@ -117,7 +136,7 @@ def full_sets(docs: DataFrame, keys: DataFrame, n: int, id_col: str, text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [gram_set(t, n).tobytes() for t in batch.column(1).to_pylist()]
+            sets = [s.tobytes() for s in gram_sets(batch.column(1), n)]
             out = [(k, s) for k, s in zip(batch.column(0).to_pylist(), sets, strict=True) if xxhash.xxh3_128_digest(s) == k]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.binary()), pa.array([s for _, s in out], pa.binary())], names=["key", "grams"])
 

@@ -1,9 +1,11 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from foliant.llm import line_dedup, near_dup
@@ -188,3 +190,27 @@ def test_both_ways_to_intersect_agree():
     want = np.array([[len(np.intersect1d(sets[a], sets[b])) if mask[i, j] else -1 for j, b in enumerate(right)] for i, a in enumerate(left)])
     got = near_dup.intersections(sets, left, right, mask)
     assert (got[mask] == want[mask]).all()
+
+
+def test_gram_sets_are_those_of_each_text_alone(monkeypatch):
+    r = random.Random(3)
+    texts = [None, "", " \n", "one", "a b c d", "a b c d e", " a  b\tc\x0bd e f ", *(" ".join(r.choice(["x", "yy", "é", "zzz\x1c", " "]) for _ in range(r.randint(0, 40))) for _ in range(300)), "w" * 300 + " a"]
+    whole = near_dup.gram_sets(pa.array([None, *texts, None]).slice(1, len(texts)))
+    seen = {}
+    for t, s in zip(texts, whole, strict=True):
+        w = (t or "").encode().split()
+        grams = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+        assert len(s) == len(grams) and (np.diff(s.astype(object)) > 0).all()
+        assert seen.setdefault(frozenset(grams), s.tobytes()) == s.tobytes()
+    assert len({*seen.values()}) == len(seen)
+    monkeypatch.setattr(near_dup, "CHUNK", 16)
+    for t, s, z in zip(texts, whole, near_dup.gram_sets(pa.array(texts)), strict=True):
+        assert s.tolist() == z.tolist() == near_dup.gram_sets(pa.array([t], pa.string()))[0].tolist()
+
+
+def test_line_dedup_of_texts_of_many_lines(spark):
+    ls = [f"line {i} of many" for i in range(100_000)]
+    rows = [(1, "\n".join(ls)), (2, "\n".join([*ls[:40_000], "own", *ls[50_000:]])), (3, "x" * 2_000_000), (4, "y\n" * 30_000)]
+    begun = time.time()
+    got = {x.doc_id: x.n_removed for x in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), whole=True).collect()}
+    assert got == {1: 0, 2: 90_000, 3: 0, 4: 29_998} and time.time() - begun < 100

@@ -19,7 +19,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.op1_query(table(spark, sf_dir, "documents"))
+    return secrets.op1_query(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

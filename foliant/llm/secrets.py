@@ -7,6 +7,8 @@ those given, or those that ``labelled_findings`` makes from rules.
 
 from __future__ import annotations
 
+import base64
+import re
 from functools import reduce
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
@@ -24,7 +26,16 @@ KNOWN = r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[pousr]_
 #: A run goes no further than a known form; it does not begin or end with a full stop, and = is in it only as padding at its end, so a name before = is no part of it.
 _KEY = r"[A-Za-z0-9+/_.\-]"
 _PADS = r"(?![A-Za-z0-9+/_=.\-])"
-CANDIDATE = rf"-----BEGIN [A-Z ]*PRIVATE KEY-----|{KNOWN}|(?=[^.]{_KEY}{{13}})(?:(?:(?!{KNOWN}){_KEY}){{16,}}(?<!\.)(?:={{1,2}}{_PADS})?|(?:(?!{KNOWN}){_KEY}){{15}}(?<!\.)={_PADS}|(?:(?!{KNOWN}){_KEY}){{14}}(?<!\.)=={_PADS})"
+#: A value of no known form that is shorter is no candidate.
+LEAST = 16
+
+
+def candidate_pattern(least: int = LEAST) -> str:
+    run = rf"(?:(?!{KNOWN}){_KEY})"
+    padded = rf"{run}{{{least},}}(?<!\.)(?:={{1,2}}{_PADS})?|{run}{{{least - 1}}}(?<!\.)={_PADS}|{run}{{{least - 2}}}(?<!\.)=={_PADS}"
+    return rf"-----BEGIN [A-Z ]*PRIVATE KEY-----|{KNOWN}|(?=[^.]{_KEY}{{{least - 3}}})(?:{padded})"
+
+
 BEFORE, AFTER = 48, 24
 #: Rules by form, in this order; the others are ``assigned`` after a key word and ``random`` elsewhere.
 FORMS = {
@@ -45,21 +56,23 @@ TEST_PATHS, LOCK_PATHS = r"(?i)(test|example|sample|fixture|mock|docs?/)", r"(?i
 FEATURES = ["length", "changes", "pairs", "vowels", "entropy", "distinct", "digits", "upper", "repeats", "dictionary", "dots", "hex", "form", "key_word", "key_distance", "other_word", "assigned", "quoted", "path_test", "path_lock"]
 
 
-def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
-    """(id, path, candidate, begin, before, after) of every candidate with a letter and a digit, or of a known form, in the whole text."""
+def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None, least: int = LEAST) -> DataFrame:
+    """(id, path, candidate, begin, before, after) of every candidate with a letter and a digit, or of a known form, in the whole text. A value of no known
+    form is a candidate from ``least`` characters on (4 or more). The work is in proportion to the text, however long a candidate is."""
+    pattern = candidate_pattern(least)
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
     rows = docs.select(F.col(id_col).alias("id"), path.alias("path"), F.col(text_col).alias("text"))
     # The gaps between candidates and the candidates take turns, so lengths give places, and gaps the neighbouring words. Both are lambda variables,
     # since the optimizer copies an expression into each of its uses; explode_outer, since it would copy the whole of this into a filter before explode.
-    both = f"array(named_struct('hits', regexp_extract_all(text, r'({CANDIDATE})', 1), 'gaps', split(text, r'{CANDIDATE}', -1)))"
+    both = f"array(named_struct('hits', regexp_extract_all(text, r'({pattern})', 1), 'gaps', split(text, r'{pattern}', -1)))"
     # Running sums by doubling: n log n steps for n candidates.
     ends = """aggregate(sequence(0, 30), transform(v.hits, (h, i) -> CAST(length(get(v.gaps, i)) + length(h) AS BIGINT)),
         (s, k) -> IF(shiftleft(1L, k) < size(s), transform(s, (x, i) -> x + IF(i >= shiftleft(1, k), get(s, i - shiftleft(1, k)), 0L)), s))"""
     # The name of a value may be a long run itself, so what goes before a candidate takes in the run before it.
     before = f"right(concat(right(coalesce(get(v.gaps, i - 1), ''), {BEFORE}), coalesce(get(v.hits, i - 1), ''), get(v.gaps, i)), {BEFORE})"
     found = f"""filter(transform(v.hits, (h, i) -> named_struct('candidate', h, 'begin', get(e, i) - length(h), 'before', {before}, 'after', left(get(v.gaps, i + 1), {AFTER}))),
-        f -> f.candidate RLIKE r'^-----BEGIN |^{KNOWN}$|[A-Za-z].*[0-9]|[0-9].*[A-Za-z]')"""
-    rows = rows.where(F.col("text").rlike(CANDIDATE))
+        f -> f.candidate RLIKE r'^-----BEGIN |^{KNOWN}$' OR (f.candidate RLIKE '[A-Za-z]' AND f.candidate RLIKE '[0-9]'))"""
+    rows = rows.where(F.col("text").rlike(pattern))
     each = F.explode_outer(F.expr(f"get(transform({both}, v -> get(transform(array({ends}), e -> {found}), 0)), 0)"))
     return rows.select("id", "path", each.alias("f")).where("f IS NOT NULL").select("id", "path", "f.*")
 
@@ -77,22 +90,32 @@ def form(candidate: str = "candidate", before: str = "before") -> Column:
     return known.when(F.col(before).rlike(KEY_WORDS), "assigned").otherwise("random")
 
 
-def features(found: DataFrame) -> DataFrame:
-    """``found`` with the columns FEATURES and rule."""
+def dictionary(path: str, most: int = 30_000) -> list[str]:
+    """Words from the file of a public vocabulary: its first ``most`` entries that are four lower-case letters or more after a space."""
+    with open(path, "rb") as f:
+        entries = (base64.b64decode(line.split()[0]) for line, _ in zip(f, range(most), strict=False))
+        return sorted({e[1:].decode() for e in entries if re.fullmatch(rb" [a-z]{4,}", e)})
+
+
+def features(found: DataFrame, words: list[str] = ()) -> DataFrame:
+    """``found`` with the columns FEATURES and rule. Of a candidate's parts (by case and by what is no letter) those that are ``words`` count as covered, beside DICTIONARY anywhere in it."""
+    parts = F.filter(F.regexp_extract_all("candidate", F.lit("[A-Z]?[a-z]{3,}|[A-Z]{4,}"), F.lit(0)), lambda p: F.length(p) >= 4)
+    known = F.split(F.lit(",".join(words)), ",")
+    in_words = F.aggregate(F.filter(parts, lambda p: F.array_contains(known, F.lower(p))), F.lit(0), lambda a, p: a + F.length(p)) if words else F.lit(0)
     n = F.length("candidate")
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace("candidate", "[^A-Za-z0-9]", "-"), "[a-z]", "a"), "[A-Z]", "B"), "[0-9]", "0")
     last = F.regexp_extract("before", rf"{KEY_WORDS}(?!.*{KEY_WORDS})([^\n]*)$", 3)
     made = {
         "length": n.cast("double"),
         "changes": _share(F.length(F.regexp_replace(classes, r"(.)\1+", "$1")) - 1, n - 1),
-        "pairs": F.expr(f"CAST(size(filter(sequence(1, greatest(length(candidate) - 1, 1)), i -> contains('{PAIRS}', concat(' ', lower(substring(candidate, i, 2)), ' ')))) AS DOUBLE) / greatest(length(candidate) - 1, 1)"),
+        "pairs": _share(F.regexp_count(F.lower("candidate"), F.lit(f"(?={'|'.join(PAIRS.split())})")), n - 1),
         "vowels": _share(_kept("aeiouAEIOU"), _kept("A-Za-z")),
         "entropy": F.expr("aggregate(array_distinct(split(candidate, '')), 0D, (a, c) -> IF(c = '', a, a - (length(candidate) - length(replace(candidate, c, ''))) / CAST(length(candidate) AS DOUBLE) * log2((length(candidate) - length(replace(candidate, c, ''))) / CAST(length(candidate) AS DOUBLE))))"),
         "distinct": _share(F.size(F.array_distinct(F.split("candidate", ""))), n),
         "digits": _share(_kept("0-9"), n),
         "upper": _share(_kept("A-Z"), n),
         "repeats": _share(n - F.length(F.regexp_replace("candidate", r"(.)\1\1+", "$1")), n),
-        "dictionary": _share(n - F.length(F.regexp_replace("candidate", f"(?i)({DICTIONARY})", "")), n),
+        "dictionary": F.greatest(_share(n - F.length(F.regexp_replace("candidate", f"(?i)({DICTIONARY})", "")), n), _share(in_words, n)),
         "dots": _share(_kept(r"./"), n),
         "hex": F.col("candidate").rlike("^([0-9a-f]+|[0-9A-F]+)$").cast("double"),
         "form": (~form().isin("assigned", "random")).cast("double"),
@@ -169,28 +192,29 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS, seed: int = 1) ->
     return found.select("path", "candidate", "before", "after", label.cast("double").alias("label"))
 
 
-def trained(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = 1) -> RandomForestClassificationModel:
+def trained(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = 1, words: list[str] = ()) -> RandomForestClassificationModel:
     """A forest from labelled findings (path, candidate, before, after, label)."""
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(features(labelled)).select("features", "label")
+    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(features(labelled, words)).select("features", "label")
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, maxBins=64, featureSubsetStrategy="sqrt", cacheNodeIds=False).fit(rows)
 
 
-def judged(found: DataFrame, model: RandomForestClassificationModel) -> DataFrame:
+def judged(found: DataFrame, model: RandomForestClassificationModel, words: list[str] = ()) -> DataFrame:
     """``found`` with rule and score, the forest's probability that it is a secret."""
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(features(found))
+    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(features(found, words))
     return model.transform(rows).withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction", *FEATURES)
 
 
-def scan(docs: DataFrame, model: RandomForestClassificationModel, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None, least: float = 0.5) -> DataFrame:
+def scan(docs: DataFrame, model: RandomForestClassificationModel, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None, threshold: float = 0.5, least: int = LEAST, words: list[str] = ()) -> DataFrame:
     """A row for every finding that stays: doc_id, rule, begin (code points before it), length, score, secret_sha256.
 
-    The whole text is read. A null or empty text has no findings; a null path is empty. A document that has a string twice has two findings, and rows
+    The whole text is read. A value of no known form is looked at from ``least`` characters on; ``words`` must be those that the model was trained with. A null or empty text has no findings; a null path is empty. A document that has a string twice has two findings, and rows
     that repeat a document repeat its findings. An empty table gives an empty result. Other columns are not read.
     """
-    rows = judged(candidates(docs, id_col, text_col, path_col), model).where(F.col("score") >= least)
+    rows = judged(candidates(docs, id_col, text_col, path_col, least), model, words).where(F.col("score") >= threshold)
     return rows.select(F.col("id").alias("doc_id"), "rule", "begin", F.length("candidate").alias("length"), "score", F.sha2("candidate", 256).alias("secret_sha256"))
 
 
-def op1_query(docs: DataFrame) -> DataFrame:
-    model = trained(labelled_findings(docs.sparkSession))
-    return scan(docs.select("doc_id", "text", "source"), model, path_col="source")
+def op1_query(docs: DataFrame, vocabulary: str) -> DataFrame:
+    words = dictionary(vocabulary)
+    model = trained(labelled_findings(docs.sparkSession), words=words)
+    return scan(docs.select("doc_id", "text", "source"), model, path_col="source", words=words)

@@ -22,8 +22,9 @@ from pyspark.sql.window import Window
 from .common import small_batches, written
 from .near_dup import runs
 
-#: Bounds: vectors of the sample that is fitted; centroids. Lists that hold one vector.
-SAMPLE, MOST_CENTROIDS, REPLICAS = 8192, 4096, 4
+#: Bounds of what is fitted: vectors of the sample, and their bytes; centroids. Within them the sample has ``PER`` vectors a centroid, and 8,192 at least, and there is a centroid
+#: for each root of the number of vectors. Lists that hold one vector.
+SAMPLE, SAMPLE_BYTES, PER, MOST_CENTROIDS, REPLICAS = 65_536, 64 << 20, 16, 4096, 4
 NEIGHBOURS, RECALL = 24, 0.97
 #: Vectors, and queries, of a block on average at most; queries whose best a task holds at most.
 BLOCK, HELD = 2048, 50_000
@@ -43,7 +44,18 @@ def as_query(rows: np.ndarray, top: float) -> np.ndarray:
 
 
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return ((c * c).sum(axis=1) - 2 * x @ c.T).argmin(axis=1)
+    half = (c * c).sum(axis=1) / 2
+    return np.concatenate([np.zeros(0, np.int64), *((half - x[i : i + 4096] @ c.T).argmin(axis=1) for i in range(0, len(x), 4096))])
+
+
+def _next(c: np.ndarray, n: int) -> np.ndarray:
+    """[centroid, n] the nearest other centroids, nearest first."""
+    half, out = (c * c).sum(axis=1) / 2, []
+    for i in range(0, len(c), 512):
+        d = half - c[i : i + 512] @ c.T
+        d[np.arange(len(d)), np.arange(i, i + len(d))] = np.inf
+        out.append(np.argsort(d, axis=1, kind="stable")[:, : min(n, len(c) - 1)])
+    return np.concatenate(out)
 
 
 def _means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int) -> np.ndarray:
@@ -64,7 +76,7 @@ class Index:
         rng = np.random.Generator(np.random.PCG64(seed))
         self.top = top
         x = measured(sample, top)
-        k = int(min(max(1, round(math.sqrt(rows))), MOST_CENTROIDS, max(1, len(x) // 16)))
+        k = int(min(max(1, round(math.sqrt(rows))), MOST_CENTROIDS, max(1, len(x) // PER)))
         c = _means(x, k, rng, 10)
         at = _nearest(x, c)
         for i in np.flatnonzero(np.bincount(at, minlength=k) > 2 * len(x) / k):
@@ -76,8 +88,7 @@ class Index:
         n = np.bincount(_nearest(x, c), minlength=len(c))
         c = c[n > max(0, len(x) // (5 * len(c)) if len(c) > 1 else 0)]
         self.centroids = c
-        between = np.sqrt(np.maximum((c * c).sum(axis=1)[:, None] + (c * c).sum(axis=1) - 2 * c @ c.T, 0))
-        near = np.argsort(between, axis=1)[:, 1 : NEIGHBOURS + 1]
+        near = _next(c, NEIGHBOURS)
         far = rng.integers(0, len(c), (len(c), 4))
         self.graph = np.concatenate([near, far], axis=1)
         self.start = rng.choice(len(c), min(len(c), 8), replace=False)
@@ -157,7 +168,7 @@ def search(vectors: DataFrame, every: int = 20, nearest: int = 20, id_col: str =
     Vectors that are null or zero or hold a null or a component that is not finite take no part, nor do rows without an id or of
     another length than most; equal scores go to the smaller id. Rows that repeat an id and a vector count once. A query has fewer rows if
     there are fewer candidates; an empty table gives an empty result. Other columns are not read. Every vector is indexed; the
-    centroids are fitted on ``sample`` vectors at most, the same in each run.
+    centroids are fitted on ``sample`` vectors at most (see SAMPLE), the same in each run.
     """
     spark = vectors.sparkSession
     small_batches(spark)
@@ -174,9 +185,11 @@ def search(vectors: DataFrame, every: int = 20, nearest: int = 20, id_col: str =
     of = rows.join(own.withColumnsRenamed({"vector": "vector_", "h": "h_"}), (F.col("h") == F.col("h_")) & (F.col("vector") == F.col("vector_"))).select("vec_id", "rep").distinct()
     of = written(of, "op8-ids")
     first = F.row_number().over(Window.partitionBy("rep").orderBy("vec_id"))
-    ids = of.withColumn("no", first).where(F.col("no") <= nearest + 1).select(F.col("rep").alias("found"), "vec_id")
+    # Written, so that the join with what is found has plain exchanges, and Spark can split the partition of a vector that is near to most queries.
+    ids = written(of.withColumn("no", first).where(F.col("no") <= nearest + 1).select(F.col("rep").alias("found"), "vec_id"), "op8-firsts")
     asked = of.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "rep")
     top, n = own.agg(F.max(F.expr("sqrt(aggregate(vector, 0D, (a, x) -> a + x * x))")), F.count(F.lit(1))).head()
+    sample = max(1, min(sample, SAMPLE_BYTES // (8 * dims), max(8192, PER * math.isqrt(n))))
     taken = own.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("vector").toPandas()
     index = Index(np.stack([np.asarray(x, dtype=np.float64) for x in taken["vector"]]), float(top), n, recall, nearest)
     shipped = spark.sparkContext.broadcast(index)
@@ -223,11 +236,14 @@ def search(vectors: DataFrame, every: int = 20, nearest: int = 20, id_col: str =
             if not len(q) or not len(v):
                 continue
             rough = q @ v.T
-            keep = min(len(v), most + 4)
-            at = np.argpartition(-rough, keep - 1, axis=1)[:, :keep]
+            keep = min(len(v), most)
+            # All that may be equal to the last one stay, so that equal scores go to the smaller id; products differ from sums by rounding.
+            slack = 1e-12 * np.linalg.norm(q, axis=1) * np.linalg.norm(v, axis=1).max()
+            last = np.partition(rough, len(v) - keep, axis=1)[:, len(v) - keep] - slack
             for k in range(len(q)):
-                i = vi[at[k]]
-                s = (v[at[k]] * q[k]).sum(axis=1)
+                at = np.flatnonzero(rough[k] >= last[k])
+                i = vi[at]
+                s = (v[at] * q[k]).sum(axis=1)
                 if (old := best.get(int(qi[k]))) is not None:
                     i, s = np.concatenate([old[0], i]), np.concatenate([old[1], s])
                     i, one = np.unique(i, return_index=True)

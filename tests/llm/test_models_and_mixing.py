@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -111,7 +112,8 @@ def test_mix(spark, odd, odd_rows, none):
     rows = [(i, " ".join(["w"] * r.choice([0, 1, 5, 50, 3000])), None, "hot" if r.random() < 0.4 else r.choice(["a", "b", "é", None]), 0) for i in range(400)]
     for docs, made in ((make(spark, rows), rows), (odd, odd_rows)):
         mixed = mixing.mix(docs, block_words=64, depth=3)
-        got = mixing.taken(mixed).collect()
+        dealt = mixing.dealt(mixed)
+        got = mixing.taken(mixed, dealt).collect()
         size = Counter((x[0], len(re.findall(r"[^\x20\x09-\x0D]+", x[1] or ""))) for x in made)
         assert Counter((x.doc_id, x["size"]) for x in got) == size
         sums = defaultdict(int)
@@ -120,26 +122,44 @@ def test_mix(spark, odd, odd_rows, none):
         names = sorted(sums, key=lambda s: (s is None, s or ""))
         goal = dict(zip(names, mixing.targets([sums[s] for s in names], [(3, 1, 2)[i % 3] for i in range(len(names))], 1.5 * sum(sums.values())), strict=True))
         took = defaultdict(int)
-        for x in mixed.selectExpr("source", "source_size", "target", "size", "aggregate(pieces, 0L, (a, p) -> a + p.end - p.begin) AS t").collect():
+        for x in mixed.documents.selectExpr("source", "source_size", "target", "size", "aggregate(pieces, 0L, (a, p) -> a + p.end - p.begin) AS t").collect():
             assert x.source_size == sums[x.source] and math.isclose(x.target, goal[x.source]) and 0 <= x.t <= 2 * x["size"]
             took[x.source] += x.t
         assert all(abs(took[s] - goal[s]) <= 1 for s in names)
-        again = mixing.taken(mixing.mix(docs.repartition(7), block_words=64, depth=3)).collect()
-        assert Counter(map(tuple, again)) == Counter(map(tuple, got))
-        pieces = mixing.shards(mixed).select("source", "piece.*").collect()
+        other = mixing.mix(docs.repartition(7), block_words=64, depth=3)
+        assert Counter(map(tuple, mixing.taken(other, mixing.dealt(other)).collect())) == Counter(map(tuple, got))
+        pieces = dealt.collect()
+        assert Counter(p.s for p in pieces for _ in range(p.end - p.begin)) == Counter({"" if s is None else f"={s}": n for s, n in took.items() if n})
         slots = defaultdict(set)
         for p in pieces:
-            slots[p.source, p.slot].add((p.block, p.shard))
+            slots[p.s, p.slot].add((p.block, p.shard))
         assert all(len(v) == 1 for v in slots.values()) and all(0 <= p.shard < 8 for p in pieces)
         blocks = Counter(s for v in slots.values() for _, s in v)
         assert max(blocks.values()) - min(blocks.get(s, 0) for s in range(8)) <= 8
+        # The result is what the shards hold: of a mix without one of them it lacks that shard's words.
+        lost = sum(p.end - p.begin for p in pieces if p.shard == 3)
+        assert sum(x.taken for x in got) - sum(x.taken for x in mixing.taken(mixed, dealt.where("shard <> 3")).collect()) == lost
+        # Slots are a permutation of the blocks, another one by another seed, and the tree's counts say how many of a source's blocks a shard has.
+        order = {s: [next(iter(slots[s, k]))[0] for k in range(sum(x == s for x, _ in slots))] for s in {s for s, _ in slots}}
+        assert all(sorted(v) == list(range(len(v))) for v in order.values())
+        again = mixing.mix(docs, block_words=64, depth=3, seed=10).blocks.collect()
+        assert len(again) == len(slots) and (len(slots) < 50 or {(p.s, p.slot): p.block for p in again} != {k: next(iter(v))[0] for k, v in slots.items()})
+        named = sorted(sums, key=lambda s: (s is None, s or ""))
+        tree = mixing.split_tree([len(order.get("" if s is None else f"={s}", [])) for s in named], 3, 9)
+        for i, s in enumerate(named):
+            key = "" if s is None else f"={s}"
+            assert sum(shard < 4 for (x, _), v in slots.items() if x == key for _, shard in v) == tree[i, 1]
+        runs = defaultdict(list)
+        for p in pieces:
+            runs[p.shard, p.part].append((p.order_key, p.slot))
+        assert len(slots) < 50 or any([k for _, k in sorted(v)] != sorted(k for _, k in v) for v in runs.values())
     assert mixing.op9_query(none).count() == 0
 
 
 def test_mixed_documents(spark):
     rows = [(i, "  ".join(f"{i}w{j}" for j in range(10)), "en", "a", 0) for i in range(30)]
     docs = make(spark, rows, extra=False)
-    got = mixing.mixed_documents(mixing.mix(docs), docs.columns).collect()
+    got = mixing.mixed_documents(docs, docs.columns).collect()
     whole = {x[1] for x in rows}
     assert sum(len(x.text.split()) for x in got) == 450 and sum(x.text not in whole for x in got) <= 1
 
@@ -170,6 +190,18 @@ def test_nearest_neighbours(spark, norms):
     assert hit >= 0.9 * 20 * len(want)
 
 
+def test_equal_scores_go_to_the_smaller_id(spark):
+    r = np.random.default_rng(11)
+    rows = [(int(i), [float(x) for x in r.integers(-1, 2, 8)]) for i in r.permutation(1500)]
+    want = brute_nearest(rows)
+    got = defaultdict(list)
+    for x in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), recall=1.0).orderBy("query_id", "rank").collect():
+        got[x.query_id].append((-x.score, x.vec_id))
+    assert set(got) == set(want) and sum(got[q] == want[q] for q in want) >= 0.95 * len(want)
+    # Whatever is found, no equal score with a smaller id was left out of a list that was read.
+    assert all(found == sorted(found) for found in got.values())
+
+
 def test_few_or_no_vectors(spark):
     kind = "vec_id long, embedding array<float>"
     assert ann.search(spark.createDataFrame([], kind)).count() == 0
@@ -205,3 +237,34 @@ def test_secrets_after_names_in_addresses_and_in_sentences(spark):
     long_ = "ab1/" * 50_000
     found = secrets.candidates(make(spark, [(1, f"x={long_}== end", None, None, 0), (2, f"...{key}...", None, None, 0)])).collect()
     assert sorted((x.id, x.begin, x.candidate) for x in found) == [(1, 2, long_ + "=="), (2, 3, key)]
+
+
+def brute_features(c, before, after, words):
+    n, low = len(c), c.lower()
+    share = lambda a, b: a / max(b, 1)
+    kinds = re.sub("[0-9]", "0", re.sub("[A-Z]", "B", re.sub("[a-z]", "a", re.sub("[^A-Za-z0-9]", "-", c))))
+    parts = [p for p in re.findall("[A-Z]?[a-z]{3,}|[A-Z]{4,}", c) if len(p) >= 4 and p.lower() in words]
+    return {
+        "length": n, "changes": share(len(re.sub(r"(.)\1+", r"\1", kinds)) - 1, n - 1), "pairs": share(sum(low[i : i + 2] in secrets.PAIRS.split() for i in range(n - 1)), n - 1),
+        "vowels": share(sum(x in "aeiou" for x in low), len(re.findall("[A-Za-z]", c))), "entropy": -sum(c.count(x) / n * math.log2(c.count(x) / n) for x in set(c)), "distinct": len(set(c)) / n,
+        "digits": sum(x in "0123456789" for x in c) / n, "dictionary": max(n - len(re.sub(f"(?i)({secrets.DICTIONARY})", "", c)), sum(map(len, parts))) / n,
+        "key_word": float(bool(re.search(secrets.KEY_WORDS, before))), "assigned": float(bool(re.search(r"(=|:|=>)\s*[\"'`]?$", before))), "quoted": float(bool(re.search("[\"'`]$", before) and re.search("^[\"'`]", after))),
+    }
+
+
+def test_features_are_those_of_plain_python(spark):
+    words = ["house", "garden", "window"]
+    rows = [("gardenHouse9x7", "token = \"", "\""), ("a94f5374fce5edbc8e2a8697c15331677e6ebf0b", "commit ", " fixes"), ("AAAAbbbb0000----", "", ""), ("changeme_WINDOWS_1", "password: '", "'"), ("theinandon12", "x", "y")]
+    got = secrets.features(spark.createDataFrame([("", *r) for r in rows], "path string, candidate string, before string, after string"), words).collect()
+    for x in got:
+        for k, v in brute_features(x.candidate, x.before, x.after, words).items():
+            assert x[k] == pytest.approx(v), (x.candidate, k)
+
+
+def test_a_very_long_candidate_takes_seconds(spark):
+    rows = [(1, "x = " + "abcdefgh" * 125_000), (2, "y=" + "abcdefg1" * 125_000 + " end"), (3, "pin = 'hunter2x9'")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    begun = time.time()
+    found = secrets.features(secrets.candidates(docs)).select("id", "begin", "length").collect()
+    assert [tuple(x) for x in found] == [(2, 2, 1_000_000.0)] and time.time() - begun < 60
+    assert [(x.id, x.candidate) for x in secrets.candidates(docs.where("doc_id = 3"), least=8).collect()] == [(3, "hunter2x9")]

@@ -18,18 +18,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a folder of our own where that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset and all runs on this machine, as in tests, a folder of our own; on a cluster it must be set."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
-        held = spark.sparkContext.getCheckpointDir()
-        at = held or f"file://{tempfile.mkdtemp(prefix='foliant-')}"
-        if not held:
-            spark.sparkContext.setCheckpointDir(at)
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        at = f"file://{tempfile.mkdtemp(prefix='foliant-')}"
+        spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
 
+#: Folders that ``fresh_dir`` has named and ``clear`` has not removed.
+_made: list[str] = []
+
+
 def fresh_dir(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def clear(spark: SparkSession, keep: list[str] = ()) -> None:
+    """Removes the folders that operators have written so far, but for ``keep``; only for a caller that has written what it needs of their results."""
+    for at in [x for x in _made if x not in keep]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _made.remove(at)
 
 
 def written(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:

@@ -37,9 +37,15 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
     return _made[-1]
 
 
-def clear(spark: SparkSession, keep: list[str] = ()) -> None:
-    """Removes the folders that operators have written so far, but for ``keep``; only for a caller that has written what it needs of their results."""
-    for at in [x for x in _made if x not in keep]:
+def marked() -> int:
+    """Where the list of written folders ends now, for ``clear``."""
+    return len(_made)
+
+
+def clear(spark: SparkSession, since: int, keep: DataFrame) -> None:
+    """Removes the folders that were written after ``since``, but for what ``keep`` reads; for a caller that needs nothing else of them."""
+    used = {f.rsplit("/", 1)[0] for f in keep.inputFiles()}
+    for at in [x for x in _made[since:] if not any(u.endswith(x.rsplit("/", 1)[1]) for u in used)]:
         path = spark._jvm.org.apache.hadoop.fs.Path(at)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
         _made.remove(at)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operators import graph, places, records, search
+from .operators import graph, index, places, records, search, shelf
 from .plans.search_plan import read_sigils
 
 
@@ -53,6 +53,23 @@ class Library:
     def path(self, start: str, end: str, most: int = 12) -> DataFrame:
         return graph.path(self._graph(), start, end, most)
 
+    def path_steps(self, start: str, end: str, most: int = 12) -> DataFrame:
+        return graph.path_steps(self._graph(), start, end, most)
+
+    def build(self, path: str, batch: str = "0") -> None:
+        """Writes the index that ``search_built`` reads."""
+        index.write(self.segments, path, batch)
+
+    def search_built(self, typed: str, path: str) -> DataFrame:
+        return index.search(self.segments.sparkSession, path, read_sigils(typed))
+
+    def suggest(self, typed: str, title: str = "title") -> DataFrame:
+        return shelf.suggestions(self._need("works"), title, typed)
+
+    def chains(self, start: str, back: bool = True, depth: int = 3, width: int = 8) -> DataFrame:
+        steps = graph.cut(self.trace(start, back, depth, width)[0], "chain-steps")
+        return shelf.chains(steps, self._graph(), start, depth)
+
     def fork(self, start: str) -> DataFrame:
         return graph.forks(self._graph(), start)
 

@@ -36,16 +36,19 @@ def postings(segs: DataFrame) -> DataFrame:
     return each.groupBy("term", "doc_id", "line_no", "length").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
+def _write(segs: DataFrame, path: str, buckets: int, batch: str, **options: str) -> None:
+    out = postings(segs).withColumns({"bucket": F.expr(f"CAST(pmod(xxhash64(term), {buckets}) AS INT)"), "batch": F.lit(batch)})
+    out.repartition(buckets, "bucket").sortWithinPartitions("term", "doc_id", "line_no").write.mode("overwrite").options(**options).partitionBy("batch", "bucket").parquet(path)
+
+
 def write_index(segs: DataFrame, path: str, buckets: int = 64) -> None:
-    """The postings by bucket of the term, sorted in it, so that a term's rows lie in few row groups."""
-    out = postings(segs).withColumn("bucket", F.expr(f"CAST(pmod(xxhash64(term), {buckets}) AS INT)"))
-    out.repartition(buckets, "bucket").sortWithinPartitions("term", "doc_id", "line_no").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    """The postings alone, by bucket of the term, sorted in it, so that a term's rows lie in few row groups; a new table. ``operators.index`` writes and searches an index with its vocabulary."""
+    _write(segs, path, buckets, "all")
 
 
-def absorb(segs: DataFrame, path: str, buckets: int = 64) -> None:
-    """Adds the postings of segments that are not in the index yet."""
-    out = postings(segs).withColumn("bucket", F.expr(f"CAST(pmod(xxhash64(term), {buckets}) AS INT)"))
-    out.repartition(buckets, "bucket").sortWithinPartitions("term").write.mode("append").partitionBy("bucket").parquet(path)
+def absorb(segs: DataFrame, path: str, buckets: int = 64, batch: str = "more") -> None:
+    """Adds the postings of a batch of segments; a batch that is written again replaces itself, so a replay doubles nothing."""
+    _write(segs, path, buckets, batch, partitionOverwriteMode="dynamic")
 
 
 def vocabulary(segs: DataFrame) -> DataFrame:

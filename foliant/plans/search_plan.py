@@ -27,6 +27,8 @@ class SearchPlan:
     shape: str = "anywhere"
     match: str = "word"
     slop: int = 0
+    #: For the match ``prefix``: the letters of which one to four may stand before a word; none named, any up to four characters.
+    particles: str = ""
 
     def __post_init__(self) -> None:
         if not self.words or not all(self.words):
@@ -52,7 +54,7 @@ class SearchPlan:
         """Whether a word satisfies a position."""
         one = {
             "word": lambda f: x == f, "contains": lambda f: x.contains(f), "regex": lambda f: x.rlike(f"^(?:{f})$"),
-            "letters": lambda f: x.rlike("^.*" + ".*".join(map(re.escape, f)) + ".*$"), "prefix": lambda f: x.rlike(f"^.{{0,4}}{re.escape(f)}$"),
+            "letters": lambda f: x.rlike("^.*" + ".*".join(map(re.escape, f)) + ".*$"), "prefix": lambda f: x.rlike(f"^[{re.escape(self.particles)}]{{1,4}}{re.escape(f)}$" if self.particles else f"^.{{0,4}}{re.escape(f)}$"),
         }[self.match]
         out = one(forms[0])
         for f in forms[1:]:

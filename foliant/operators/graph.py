@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -16,16 +16,21 @@ from ..functions.text import confidence, edge_type, era_order
 TYPES = ["comments-on", "quotes", "paraphrases", "references"]
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a table in the folder of spark.checkpoint.dir; the lineage ends there."""
-    spark = df.sparkSession
+def shared(spark: SparkSession, label: str) -> str:
+    """A new folder's name in that of spark.checkpoint.dir, which driver and executors share."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='foliant-')}"
         spark.sparkContext.setCheckpointDir(at)
-    at = f"{at.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{at.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a table in the folder of spark.checkpoint.dir; the lineage ends there."""
+    spark = df.sparkSession
+    at = shared(spark, label)
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
@@ -158,6 +163,32 @@ def path(edges: DataFrame, start: str, end: str, most: int = 12) -> DataFrame:
     return got.select(F.when(F.col("steps").isNull(), "not within").otherwise("path").alias("outcome"), "steps")
 
 
+def path_steps(edges: DataFrame, start: str, end: str, most: int = 12, most_edges: int = 1_000_000) -> DataFrame:
+    """(outcome, steps, path): a shortest path from both sides, the smaller frontier going on at each step; its nodes, of equal ways the least names near either end. ``not within`` where none has at most ``most`` steps
+    or so many edges have been opened, ``none`` where one side has nowhere left to go."""
+    ends = cut(edges.select(F.col("a").alias("node"), F.col("b").alias("far")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("far"))).where("node <> far").distinct(), "path-ends")
+    spark = edges.sparkSession
+    sides = [cut(spark.createDataFrame([(x, [x])], "node string, way array<string>"), "path-side") for x in (start, end)]
+    fronts, sizes, opened = list(sides), [1, 1], 0
+    outcome, steps = "not within", 0
+    while True:
+        met = sides[0].join(sides[1].select("node", F.col("way").alias("back")), "node").select(F.concat("way", F.slice(F.reverse("back"), F.lit(2), F.size("back"))).alias("path"))
+        if best := met.orderBy(F.size("path"), "path").head():
+            return spark.createDataFrame([("path", len(best["path"]) - 1, best["path"])], "outcome string, steps int, path array<string>")
+        if steps >= most or opened > most_edges:
+            break
+        i = 0 if sizes[0] <= sizes[1] else 1
+        found = fronts[i].join(ends, "node").select(F.col("far").alias("node"), F.concat("way", F.array("far")).alias("way")).join(sides[i].select("node"), "node", "left_anti")
+        fronts[i] = cut(found.groupBy("node").agg(F.min("way").alias("way")), "path-front")
+        sizes[i] = fronts[i].count()
+        opened, steps = opened + sizes[i], steps + 1
+        if not sizes[i]:
+            outcome = "none"
+            break
+        sides[i] = cut(sides[i].unionByName(fronts[i]), "path-side")
+    return spark.createDataFrame([(outcome, None, None)], "outcome string, steps int, path array<string>")
+
+
 def forks(edges: DataFrame, start: str) -> DataFrame:
     """(x, y, witnesses, joined): pairs of works next to ``start`` with the works next to both, start left out; joined if they are linked themselves. Witnesses are counted by an
     equi-join on the witness, so its cost is that of the pairs that share one."""

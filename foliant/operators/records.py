@@ -70,18 +70,23 @@ def one_edit(word: Column, letters: str = LATIN) -> Column:
         flatten(transform(sequence(1, length(word) + 1), i -> transform(array({each}), c -> named_struct('rare', concat(left(word, i - 1), c, substring(word, i)), 'how', 'insertion')))))))""")
 
 
-def suspects(vocab: DataFrame, common_from: int = 10_000, rare_to: int = 1, least_length: int = 4, letters: str = LATIN) -> DataFrame:
-    """(rare, common, rare_count, common_count, how, score): rare words one edit from a common one, the best common word for each. Edits at a word's edges that add or drop a letter are
-    grammar and no suspects. An equi-join of the common words' neighbours with the vocabulary; the common words are few, and only they are expanded."""
+def suspects(vocab: DataFrame, common_from: int = 10_000, rare_to: int = 1, least_length: int = 4, letters: str = LATIN, alike: tuple[str, ...] = (), most: int | None = None) -> DataFrame:
+    """(rare, common, rare_count, common_count, how, score): rare words one edit from a common one, the best common word for each; the ``most`` best, by score, rare and common, if a number is given. Edits at a
+    word's edges that add or drop a letter are grammar and no suspects. A letter for another that looks ``alike`` (pairs of letters) counts twice. An equi-join of the common words' neighbours with the
+    vocabulary; the common words are few, and only they are expanded."""
     commons = vocab.where((F.col("cf") >= common_from) & F.col("term").rlike(f"^[{letters}]+$")).select(F.col("term").alias("word"), F.col("cf").alias("common_count"))
     near = commons.select("word", "common_count", F.explode(one_edit(F.col("word"), letters)).alias("e")).select("word", "common_count", "e.rare", "e.how")
     edge = F.col("rare").startswith(F.col("word")) | F.col("rare").endswith(F.col("word")) | F.col("word").startswith(F.col("rare")) | F.col("word").endswith(F.col("rare"))
     rare = vocab.where((F.col("cf") <= rare_to) & (F.length("term") >= least_length)).select(F.col("term").alias("rare"), F.col("cf").alias("rare_count"))
     weight = F.when(F.col("how") == "substitution", 10).when(F.col("how") == "swap", 9).otherwise(5)
     found = near.where(~edge & (F.col("rare") != F.col("word"))).join(rare, "rare")
-    scored = found.withColumn("score", F.expr("CAST((length(bin(common_count)) * 10 + length(rare) * 5) AS BIGINT)") * weight).withColumn("score", F.expr("score div 10"))
+    both = [p for a in alike for p in (a, a[::-1])]
+    letters_of = lambda c: F.regexp_extract_all(c, F.lit("(.)"), F.lit(1))
+    twice = F.when((F.col("how") == "substitution") & F.exists(F.zip_with(letters_of("word"), letters_of("rare"), lambda x, y: F.concat(x, y)), lambda x: x.isin(both)), 2).otherwise(1) if both else F.lit(1)
+    scored = found.withColumn("score", F.expr("CAST((length(bin(common_count)) * 10 + length(rare) * 5) AS BIGINT)") * weight).withColumn("score", F.expr("score div 10") * twice)
     best = Window.partitionBy("rare").orderBy(F.desc("score"), "word", "how")
-    return scored.withColumn("no", F.row_number().over(best)).where("no = 1").select("rare", F.col("word").alias("common"), "rare_count", "common_count", "how", "score")
+    out = scored.withColumn("no", F.row_number().over(best)).where("no = 1").select("rare", F.col("word").alias("common"), "rare_count", "common_count", "how", "score")
+    return out.orderBy(F.desc("score"), "rare", "common").limit(most) if most else out
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -142,20 +147,30 @@ def pieces(text: pd.Series, most: int = 10_000, target: int = 4_000, reach: int
 
 
 def cut_pieces(text: Column) -> Column:
+    """The pieces of a text; where a cut lies depends on the one before, so it runs in Python. Batches are of ``spark.sql.execution.arrow.maxRecordsPerBatch`` texts."""
+
     def run(texts: pd.Series) -> pd.Series:
         return pieces(texts)
 
     return F.pandas_udf(run, "array<string>")(text)
 
 
-def closure(pairs: DataFrame, most: int = 32) -> DataFrame:
-    """(name, now): where each old name leads through redirects (old, new), at last; by a recursive query whose depth is bounded."""
-    pairs.createOrReplaceTempView("_redirects")
-    return pairs.sparkSession.sql(f"""
-        WITH RECURSIVE w(name, now, depth) AS (
-          SELECT old, new, 1 FROM _redirects
-          UNION ALL SELECT w.name, r.new, w.depth + 1 FROM w JOIN _redirects r ON w.now = r.old WHERE w.depth < {most})
-        SELECT name, max_by(now, depth) AS now FROM w GROUP BY name""")
+def closure(pairs: DataFrame) -> DataFrame:
+    """(name, now): where each old name leads through redirects (old, new), at last; null where it leads round and round. Of two redirects of one name the greater counts. Pointers are
+    doubled, so the rounds are the logarithm of the longest chain; each is written."""
+    from .graph import cut
+
+    now = cut(pairs.groupBy(F.col("old").alias("name")).agg(F.max("new").alias("now")), "redirects")
+    rounds = max(1, now.count()).bit_length() + 1
+    for _ in range(rounds):
+        names = now.select(F.col("name").alias("n_"), F.col("now").alias("next"))
+        ahead = cut(now.join(names, now["now"] == names["n_"], "left").select("name", F.coalesce("next", "now").alias("now"), F.col("next").isNotNull().alias("on")), "redirects")
+        now = ahead.select("name", "now")
+        if ahead.where("on").isEmpty():
+            break
+    starts = now.select(F.col("name").alias("n_"), F.lit(True).alias("_goes"))
+    out = now.join(starts, now["now"] == starts["n_"], "left")
+    return out.select("name", F.when(F.col("_goes").isNull(), F.col("now")).alias("now"))
 
 
 def asof(left: DataFrame, anchors: DataFrame, key: str, at: str, value: str) -> DataFrame:

@@ -197,7 +197,7 @@ def vocabulary_expansion(spark, d):
 
 @query()
 def suspects(spark, d):
-    return records.suspects(search.vocabulary(segs(spark, d)), common_from=500)
+    return records.suspects(search.vocabulary(segs(spark, d)), common_from=500, alike=("ce", "il", "uv"))
 
 
 @query(f"WITH {SEG}, t AS (SELECT DISTINCT unnest(w) AS term FROM seg) SELECT term, CAST(list_sum(list_transform(string_split(term, ''), lambda c: ascii(c) - 96)) AS BIGINT) AS value FROM t WHERE regexp_matches(term, '^[a-z]+$')")
@@ -218,7 +218,9 @@ def notarikon(spark, d):
 
 
 _DILUG = 4
-_LEADS = " ".join(f"UNION ALL SELECT doc_id, CAST(i AS BIGINT) AS i, CAST({k} AS BIGINT) AS skip FROM n WHERE c = 'z' AND a{k} = 'e' AND b{k} = 'r'" for k in range(1, _DILUG + 1))
+_LEADS = " ".join(
+    f"UNION ALL SELECT doc_id, CAST(i AS BIGINT) AS i, CAST({k} AS BIGINT) AS skip, {back} AS backwards FROM n WHERE c = '{w[0]}' AND a{k} = '{w[1]}' AND b{k} = '{w[2]}'" for k in range(1, _DILUG + 1) for w, back in (("zer", "false"), ("rez", "true"))
+)
 
 
 @query(f"""WITH c AS (SELECT doc_id, string_split(regexp_replace(lower(text), '[^a-z]', '', 'g'), '') AS x FROM documents), l AS (SELECT doc_id, unnest(x) AS c, unnest(range(len(x))) AS i FROM c),

@@ -1,4 +1,5 @@
 import math
+import os
 import random
 import re
 import time
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliant.llm import ann, language_id, mixing, secrets
+from foliant.llm.queries import tokenizer_path
 from tests.llm.conftest import make
 
 SOUNDS = {"aa": ["ka", "to", "mi", "ra", "su"], "bb": ["schl", "ein", "ung", "ich", "der"], "cc": ["ción", "que", "ado", "los", "ñez"]}
@@ -40,6 +42,30 @@ def test_languages_are_found_and_others_rejected(spark, models, odd, none):
     assert {x.lang_pred for x in language_id.op3_query(make(spark, [(1, "abc", None, None, 0)])).collect()} == {"und"}
 
 
+def test_repeated_ids_null_ids_and_few_texts(spark):
+    r = random.Random(12)
+    rows = [([7, 8, None][i % 3], spoken(lang := sorted(SOUNDS)[i % 3 - i % 2], r, 20), lang, None, 0) for i in range(900)]
+    rows += [(10 + i, None if i % 2 else "", lang, None, 0) for i in range(20_000) for lang in ["aa"]]
+    own = language_id.fit(make(spark, rows, extra=False), sample_docs=80)
+    assert own.langs == ["aa", "bb", "cc"]
+    texts = [spoken(lang, r, 20) for lang in sorted(SOUNDS) for _ in range(30)]
+    assert sum(p == sorted(SOUNDS)[i // 30] for i, p in enumerate(own.predict(texts)[0])) >= 88
+    again = language_id.fit(make(spark, rows, extra=False).repartition(5), sample_docs=80)
+    assert (again.keys == own.keys).all() and (again.share == own.share).all() and (again.most == own.most).all()
+    assert len(language_id.fit(make(spark, rows, extra=False), sample_docs=80, most_langs=2).langs) == 2
+    same = language_id.fit(make(spark, [(1, "ka to mi ra su", "aa", None, 0)] * 500, extra=False))
+    assert same.langs == ["aa"]
+
+
+def test_an_odd_calibration_text_does_not_move_the_bound(models):
+    r = random.Random(13)
+    texts, langs = [spoken(x, r, 30) for x in sorted(SOUNDS) for _ in range(40)], [x for x in sorted(SOUNDS) for _ in range(40)]
+    models.calibrate(texts, langs)
+    before = models.most.copy()
+    models.calibrate([*texts, "xqz jwv pfh " * 20, "zzzz yyyy " * 30], [*langs, "aa", "bb"])
+    assert (models.most <= before * 1.1).all()
+
+
 def brute_cost(words, counts, order, floor, root):
     """Interpolated Kneser-Ney by the book, over tuples; a context does not go beyond the beginning of a word."""
     grams = [Counter() for _ in range(order + 1)]
@@ -268,3 +294,19 @@ def test_a_very_long_candidate_takes_seconds(spark):
     found = secrets.features(secrets.candidates(docs)).select("id", "begin", "length").collect()
     assert [tuple(x) for x in found] == [(2, 2, 1_000_000.0)] and time.time() - begun < 60
     assert [(x.id, x.candidate) for x in secrets.candidates(docs.where("doc_id = 3"), least=8).collect()] == [(3, "hunter2x9")]
+
+
+def test_precision_and_recall_on_the_documents(spark):
+    """Each candidate of the table is labelled by a plain rule on the whole text: what stands in quotes after ``token =`` is a secret, the host of a mail address is none, and there are no others."""
+    at = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(at):
+        pytest.skip("no such table")
+    words = secrets.dictionary(tokenizer_path("byte_bpe_50k.tiktoken"))
+    docs = spark.read.parquet(at)
+    model = secrets.trained(secrets.labelled_findings(spark), words=words)
+    got = Counter((x.doc_id, x.begin) for x in secrets.scan(docs, model, path_col="source", words=words).collect())
+    want, other = Counter(), 0
+    for i, t in docs.select("doc_id", "text").where("text IS NOT NULL").collect():
+        want.update((i, m.start(1)) for m in re.finditer('token = "([0-9a-f]{40})"', t))
+        other += len(re.findall(r"@mail[0-9]\.example\.com", t))
+    assert sum(want.values()) >= 10 and other >= 10 and got == want

@@ -6,6 +6,8 @@ whose counts give where each begins. A binary tree splits the slots of all sourc
 multivariate-hypergeometric draw says how many blocks of each source go left, and a slot walks down its source's counts to a leaf. So
 the shards draw disjoint blocks and use up every quota exactly; inside a shard, the pieces of documents that its blocks hold are
 shuffled by a hash. What the mix takes from a document is read from the shards.
+
+Tables with a row a bucket, a block or a document are joined by merging, never broadcast: written tables are small as files and large in memory.
 """
 
 from __future__ import annotations
@@ -111,7 +113,7 @@ def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", tex
     each = Window.partitionBy("s").orderBy("b")
     table = blocks.groupBy("s", "b").agg(F.count(F.lit(1)).alias("n")).select("s", "b", (F.sum("n").over(each) - F.col("n")).alias("base"))
     slot = F.row_number().over(Window.partitionBy("s", "b").orderBy("h", "block"))
-    blocks = blocks.withColumn("no", slot).join(table, ["s", "b"]).withColumn("slot", F.col("base") + F.col("no") - 1).join(plan.select("s", "halves"), "s")
+    blocks = blocks.withColumn("no", slot).join(table.hint("merge"), ["s", "b"]).withColumn("slot", F.col("base") + F.col("no") - 1).join(plan.select("s", "halves"), "s")
     walk = f"""aggregate(sequence(1, {depth}), named_struct('n', 1, 'r', slot),
         (a, i) -> IF(a.r < halves[a.n], named_struct('n', 2 * a.n, 'r', a.r), named_struct('n', 2 * a.n + 1, 'r', a.r - halves[a.n])), a -> a.n - {1 << depth})""" if depth else "0"
     blocks = blocks.select("s", "block", "slot", F.expr(walk).alias("shard"))
@@ -135,7 +137,7 @@ def _on_lines(placed: DataFrame, lines: DataFrame, id_col: str, block: int, most
     lines = lines.select(F.col("s").alias(own["s"]), F.col("b").alias(own["b"]), F.struct("base", "source_size", "target", "quota").alias(own["line"]))
     rows = placed.withColumn(own["s"], F.col("_key.s")).withColumn(own["b"], F.col("_key.b"))
     order = Window.partitionBy(own["s"], own["b"]).orderBy("_key.h", id_col, "size").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn(own["before"], F.sum("size").over(order) - F.col("size")).join(lines, [own["s"], own["b"]])
+    rows = rows.withColumn(own["before"], F.sum("size").over(order) - F.col("size")).join(lines.hint("merge"), [own["s"], own["b"]])
     t = f"`{own['line']}`"
     start = f"({t}.base + `{own['before']}`)"
     piece = f"""flatten(transform(sequence(0, {math.ceil(most) - 1}), e ->
@@ -154,7 +156,7 @@ def shards(mixed: Mix) -> DataFrame:
     """(shard, part, order_key, s, at, epoch, block, slot, begin, end): a row for every piece of a document, in the shard that its block was dealt to and shuffled inside it; a
     shard is its parts in order, each sorted. A document without words has no piece. Written by the caller, or by ``dealt``."""
     pieces = mixed.documents.select("place.s", "place.at", F.explode("pieces").alias("p")).select("s", "at", "p.*")
-    out = pieces.join(mixed.blocks, ["s", "block"])
+    out = pieces.join(mixed.blocks.hint("merge"), ["s", "block"])
     out = out.withColumn("order_key", F.xxhash64(F.lit(mixed.seed), "s", "slot", "epoch", "at"))
     out = out.withColumn("part", F.floor(F.shiftrightunsigned("order_key", 32) * mixed.parts / float(1 << 32)).cast("int"))
     columns = ["shard", "part", "order_key", "s", "at", "epoch", "block", "slot", "begin", "end"]
@@ -171,7 +173,7 @@ def taken(mixed: Mix, shards: DataFrame, id_col: str = "doc_id") -> DataFrame:
     got = written(shards.groupBy("s", "at").agg(F.sum(F.col("end") - F.col("begin")).alias("taken")), "op9-taken")
     # A place is that of one document with words; those without have none of their own.
     rows = mixed.documents.select(F.col(id_col).alias("doc_id"), "size", "source_size", "target", F.when(F.col("size") > 0, F.col("place.s")).alias("s"), "place.at")
-    return rows.join(got, ["s", "at"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
+    return rows.join(got.hint("merge"), ["s", "at"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, columns: list[str], text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", **options) -> DataFrame:
@@ -187,7 +189,7 @@ def mixed_documents(docs: DataFrame, columns: list[str], text_col: str = "text",
     takes = written(takes.toDF(names["s"], names["at"], names["takes"]), "op9-takes")
     rows = _on_lines(_bucketed(docs, source_col, id_col, text_col, None, own.buckets, own.seed), own.lines, id_col, own.block, own.most).where("size > 0")
     rows = rows.withColumn(names["s"], F.col("place.s")).withColumn(names["at"], F.col("place.at")).drop("pieces", "place")
-    rows = rows.join(takes, [names["s"], names["at"]]).withColumn(names["words"], F.explode(names["takes"]))
+    rows = rows.join(takes.hint("merge"), [names["s"], names["at"]]).withColumn(names["words"], F.explode(names["takes"]))
     words = F.col(names["words"])
     cut = F.concat_ws(" ", F.slice(F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})"), F.lit(1)), F.lit(1), words.cast("int")))
     return rows.withColumn(text_col, F.when(words < F.col("size"), cut).otherwise(F.col(text_col))).select(*columns)

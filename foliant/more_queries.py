@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .functions import calendar as cal
 from .functions import text as tx
-from .operators import graph, index, records, search, shelf
+from .operators import desk, graph, index, records, search, shelf
 from .plans.search_plan import SearchPlan, read_sigils
 from .queries import EDGES, SEG, SQL, _plan, _works, edges, query, segs
 from .sources.tables import catalogue_union, nested_json, table
@@ -424,6 +424,82 @@ def continuity_kept(spark, d):
     return got.withColumn("b", last).groupBy("doc_id").agg(F.count(F.lit(1)).alias("kept"), F.bool_and(F.col("b").isNull() | (F.col("b") < F.col("new_no"))).alias("rising"))
 
 
+# A reader's desk -------------------------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {SEG}, q AS (SELECT doc_id, line_no, w, CASE WHEN line_no % 2 = 0 THEN w[1:3] ELSE w[2:4] END AS a FROM seg WHERE len(w) >= 4), f AS (SELECT doc_id, line_no, list_filter(range(len(w) - 2), lambda i: w[i + 1:i + 3] = a) AS z FROM q)
+SELECT doc_id, line_no, CASE WHEN len(z) = 1 THEN CAST(z[1] AS INT) END AS first, CASE WHEN len(z) = 1 THEN CAST(z[1] + 2 AS INT) END AS last FROM f""")
+def opening_spans(spark, d):
+    """Comments on each line that open with three of its words, before a dash or as the first clause before one."""
+    rows = segs(spark, d).withColumn("w", tx.tokens(F.col("line"))).where("size(w) >= 4")
+    even = F.concat(F.array_join(F.slice("w", 1, 3), " "), F.lit(". Not there – this is so"))
+    comment = F.when(F.col("line_no") % 2 == 0, even).otherwise(F.concat(F.array_join(F.slice("w", 2, 3), " "), F.lit(": - and so on")))
+    return rows.select("doc_id", "line_no", desk.opening_span(F.col("line"), comment).alias("s")).select("doc_id", "line_no", "s.first", "s.last")
+
+
+@query("SELECT p_partkey, '<i>' || p_name || '</i>' AS text, unnest(['Rashi', p_brand]) AS commentator, unnest(['a', NULL]) AS label, CAST(unnest([5, 7 + length(p_name)]) AS INT) AS at FROM part")
+def anchor_mining(spark, d):
+    """Two empty anchors in each name, one without its first quote; markup that holds something stays."""
+    name = F.col("p_name")
+    text = F.concat(F.lit("<i>"), F.left(name, F.lit(2)), F.lit('<i data-commentator="Rashi" data-label="a"></i>'), F.expr("substring(p_name, 3)"), F.lit("</i>"), F.lit("<i data-commentator="), F.col("p_brand"), F.lit('"></i>'))
+    rows = table(spark, d, "part").select("p_partkey", desk.mined(text).alias("m"))
+    return rows.select("p_partkey", "m.text", F.explode("m.anchors").alias("a")).select("p_partkey", "text", "a.*")
+
+
+@query("""WITH r AS (SELECT o_orderkey AS ref, o_custkey % 25 AS work, CASE o_orderkey % 4 WHEN 0 THEN CAST([] AS INTEGER[]) WHEN 1 THEN [CAST(o_custkey % 9 AS INTEGER)] WHEN 2 THEN [CAST(o_custkey % 9 AS INTEGER), CAST(o_custkey % 3 AS INTEGER)] ELSE [CAST(o_custkey % 9 AS INTEGER), 2] END AS f, CASE WHEN o_orderkey % 4 = 3 THEN [CAST(o_custkey % 9 + 2 AS INTEGER), 4] END AS t FROM orders),
+p AS (SELECT s_suppkey AS place, s_suppkey % 25 AS work, [CAST(s_suppkey % 11 AS INTEGER), CAST(s_suppkey % 7 AS INTEGER)] AS a FROM supplier) SELECT place, count(*) AS n, sum(ref) AS refs FROM r JOIN p USING (work) WHERE CASE WHEN len(f) = 0 THEN true WHEN t IS NULL THEN a[1:len(f)] = f ELSE a >= f AND a <= t END GROUP BY place""")
+def who_cites(spark, d):
+    """Refs to whole works, to points and to ranges that cover a place."""
+    n, c = F.col("o_orderkey") % 4, F.col("o_custkey")
+    a = (c % 9).cast("int")
+    begin = F.when(n == 0, F.array().cast("array<int>")).when(n == 1, F.array(a)).when(n == 2, F.array(a, (c % 3).cast("int"))).otherwise(F.array(a, F.lit(2)))
+    refs = table(spark, d, "orders").select(F.col("o_orderkey").alias("ref"), (c % 25).alias("work"), begin.alias("from"), F.when(n == 3, F.array(a + 2, F.lit(4))).alias("to"))
+    s = F.col("s_suppkey")
+    places = table(spark, d, "supplier").select(s.alias("place"), (s % 25).alias("work"), F.array((s % 11).cast("int"), (s % 7).cast("int")).alias("address"))
+    return desk.citing(refs, places).groupBy("place").agg(F.count(F.lit(1)).alias("n"), F.sum("ref").alias("refs"))
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_suppkey % 20 = 1 OR (l_suppkey % 20 = 2 AND l_partkey % 10 = 3) OR (l_suppkey % 20 = 3 AND ((l_partkey % 10 = 4 AND l_linenumber = 1) OR l_partkey % 10 = 5))")
+def lane_selection(spark, d):
+    parts = spark.createDataFrame([(1, []), (2, [3]), (3, [4, 1]), (3, [5])], "work long, under array<int>")
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 20).cast("long").alias("work"), F.array((F.col("l_partkey") % 10).cast("int"), F.col("l_linenumber").cast("int")).alias("path"))
+    return desk.chosen(rows, parts).select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT doc_id, length(text) AS n_chars FROM documents WHERE doc_id % 5 <> 0 AND regexp_matches(text, '\\S') AND doc_id % 3 <> 0")
+def job_left(spark, d):
+    """What an embedding job has still to do: every fifth row is a heading, every third is done, some others by another model."""
+    docs = table(spark, d, "documents").withColumn("kind", F.when(F.col("doc_id") % 5 == 0, "heading"))
+    done = docs.where("doc_id % 3 = 0 OR doc_id % 7 = 0").select("doc_id", F.when(F.col("doc_id") % 3 == 0, "m1").otherwise("m0").alias("model"))
+    return desk.work_left(docs, done, "doc_id", "m1").select("doc_id", F.length("text").cast("bigint").alias("n_chars"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'away' WHEN c_custkey % 4 = 0 THEN 'new' WHEN c_custkey % 11 > c_custkey % 7 THEN 'stale' ELSE 'fresh' END AS outcome FROM customer WHERE NOT (c_custkey % 5 = 0 AND c_custkey % 4 = 0)")
+def documents_registry(spark, d):
+    c, k = table(spark, d, "customer"), F.col("c_custkey")
+    return desk.registry(c.where(k % 4 != 0).select("c_custkey", (k % 7).alias("changed")), c.where(k % 5 != 0).select("c_custkey", (k % 11).alias("changed")), "c_custkey")
+
+
+@query("WITH n AS (SELECT DISTINCT p_name AS spelling, p_brand AS work FROM part UNION SELECT lower(p_type), p_brand FROM part WHERE p_partkey % 50 = 0) SELECT spelling, CASE WHEN count(*) = 1 THEN min(work) END AS work, count(*) AS works FROM n GROUP BY spelling")
+def spelling_lexicon(spark, d):
+    p = table(spark, d, "part")
+    return desk.spelled(p.select(F.col("p_name").alias("spelling"), F.col("p_brand").alias("work")), p.where("p_partkey % 50 = 0").select(F.lower("p_type").alias("spelling"), F.col("p_brand").alias("work")))
+
+
+@query("WITH a AS (SELECT o_orderkey, o_custkey % 30 AS work, o_orderkey % 200 AS address FROM orders), w AS (SELECT DISTINCT s_suppkey % 25 AS work FROM supplier), p AS (SELECT DISTINCT p_partkey % 25 AS work, p_partkey % 150 AS address FROM part) SELECT o_orderkey, CASE WHEN p.work IS NOT NULL THEN 'found' WHEN w.work IS NOT NULL THEN 'no address' ELSE 'not on the shelf' END AS outcome FROM a LEFT JOIN w ON a.work = w.work LEFT JOIN p ON a.work = p.work AND a.address = p.address")
+def citation_lookup(spark, d):
+    asked = table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 30).alias("work"), (F.col("o_orderkey") % 200).alias("address"))
+    works, p = table(spark, d, "supplier").select((F.col("s_suppkey") % 25).alias("work")), F.col("p_partkey")
+    return desk.looked_up(asked, works, table(spark, d, "part").select((p % 25).alias("work"), (p % 150).alias("address"))).select("o_orderkey", "outcome")
+
+
+@query("SELECT DISTINCT l_orderkey FROM lineitem l WHERE l_partkey % 50 = 7 AND l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def collections_holding(spark, d):
+    """Orders as collections of parts with their flags as tags: those that hold a part and bear a tag."""
+    c = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.col("l_partkey") % 50).alias("members"), F.collect_set("l_returnflag").alias("tags"))
+    return desk.holding(c, F.lit(7), "R").select("l_orderkey")
+
+
 SQL["where_from"] = f"""WITH {SEG}, p AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS pw FROM benchmark), q AS (SELECT item_id, ' ' || array_to_string(pw, ' ') || ' ' AS said FROM p WHERE len(pw) > 0),
 t AS (SELECT source, ' ' || array_to_string(w, ' ') || ' ' AS words FROM seg) SELECT item_id, count(*) AS hits, count(DISTINCT source) AS works, count(*) > 200 AS turn_of_speech FROM q JOIN t ON contains(words, said) GROUP BY item_id"""
 SQL["atbash"] = f"""WITH {SEG}, t AS MATERIALIZED (SELECT DISTINCT unnest(w) AS term FROM seg), m AS MATERIALIZED (SELECT term, translate(term, 'abcdefghijklmnopqrstuvwxyz', 'zyxwvutsrqponmlkjihgfedcba') AS mirror FROM t) SELECT m.term, m.mirror FROM m JOIN t ON m.mirror = t.term"""

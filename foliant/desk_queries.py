@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import text as tx
-from .operators import editing, graph, pages
+from .functions.registered import register
+from .operators import editing, graph, pages, search, shelf
+from .plans.search_plan import read_sigils
 from .queries import EDGES, SEG, edges, query, segs
 from .sources import files
-from .sources.tables import link_csv, table
+from .sources.tables import link_csv, link_json, table
 
 _HELD = "held AS (SELECT l_orderkey AS segment, l_linenumber AS id, l_linenumber * 10 AS b, l_linenumber * 10 + 1 + max(l_partkey) % 9 AS e FROM lineitem GROUP BY 1, 2)"
 
@@ -224,3 +226,98 @@ def catalogue_put_remove(spark, d):
 @query(f"WITH {SEG}, {EDGES} SELECT count(DISTINCT source) AS works, count(*) AS segments, (SELECT count(DISTINCT edge_type) FROM e) AS link_types, 'rebuild' AS state FROM seg")
 def build_report(spark, d):
     return files.stamp(segs(spark, d).withColumnRenamed("source", "work"), edges(spark, d), 2, 1)
+
+
+@query("WITH g AS (SELECT DISTINCT l_orderkey AS page, l_linenumber AS n FROM lineitem), o AS (SELECT page, n, bool_or(l_partkey % 5 = 0) AS refused FROM g JOIN lineitem ON l_orderkey = page AND l_linenumber = n GROUP BY 1, 2), p AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY n) - 1 AS line FROM o), w AS (SELECT *, unnest([0, 1]) AS k FROM p) SELECT page, CAST(2 * line + k AS INT) AS no, CAST(line AS INT) AS line, CASE WHEN k = 0 THEN 'אבג' ELSE '123' END AS text, CASE WHEN k = 0 THEN 40 ELSE 20 END::DOUBLE AS x0, CASE WHEN k = 0 THEN 54 ELSE 32 END::DOUBLE AS x1, refused FROM w")
+def glyph_words(spark, d):
+    """A Hebrew word and a number on each line, glyph by glyph; every fifth line has a glyph that could not be named."""
+    li = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("n")).agg(F.bool_or(F.col("l_partkey") % 5 == 0).alias("odd"))
+    each = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(c).alias("c"), F.lit(float(x)).alias("x")) for i, (c, x) in enumerate((("1", 20), ("א", 50), ("3", 28), ("ב", 45), ("2", 24), ("ג", 40), ("\x10", 33)))))
+    g = li.select("page", "n", "odd", F.explode(each).alias("g"))
+    text = F.when(F.col("odd") & (F.col("g.i") == 3), F.concat("g.c", F.lit("\x0e"))).otherwise(F.col("g.c"))
+    glyphs = g.select("page", (F.col("n") * 10 + F.col("g.i")).alias("no"), text.alias("text"), F.col("g.x").alias("x0"), (F.col("n") * 20).alias("y0"), (F.col("g.x") + 4).alias("x1"), (F.col("n") * 20 + 10).alias("y1"))
+    return pages.grouped_words(glyphs, "page").drop("y0", "y1")
+
+
+@query("WITH w AS (SELECT l_orderkey * 8 + l_linenumber AS word, l_orderkey AS page, max(l_partkey) % 50 AS x, l_linenumber * 20 AS y, max(l_partkey) % 3 AS t FROM lineitem GROUP BY l_orderkey, l_linenumber), f AS (SELECT o_orderkey AS page, o_custkey % 40 AS x FROM orders) SELECT f.page FROM f WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.page = f.page AND w.t = 1 AND w.y = 20 AND least(w.x + 6, f.x + 20) - greatest(w.x, f.x) >= 0.6 * 6)")
+def stranded_fixes(spark, d):
+    """Fixes of the word t1 in a strip of the first line, most of which must be under the strip."""
+    li = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("n")).agg((F.max("l_partkey") % 150).alias("p"))
+    x, y = F.col("p") % 50, F.col("n") * 20
+    words = li.select("page", (F.col("page") * 8 + F.col("n")).alias("word"), F.concat(F.lit("t"), F.col("p") % 3).alias("text"), x.alias("x0"), y.alias("y0"), (x + 6).alias("x1"), (y + 14).alias("y1"))
+    c = F.col("o_custkey") % 40
+    fixes = table(spark, d, "orders").select(F.col("o_orderkey").alias("page"), F.lit("f").alias("mark"), F.lit("t1").alias("was"), c.alias("x0"), F.lit(20).alias("y0"), (c + 20).alias("x1"), F.lit(34).alias("y1"))
+    whole = words.withColumn("x0", F.col("x0").cast("double")).withColumn("x1", F.col("x1").cast("double"))
+    return pages.stranded(fixes, whole, "page").select("page")
+
+
+@query("SELECT page_id FROM pages WHERE page_id % 3 <> 0 OR page_id % 2 = 0")
+def scan_pages_left(spark, d):
+    p = table(spark, d, "pages")
+    read = p.where("page_id % 3 = 0").select("page_id", F.when(F.col("page_id") % 2 == 0, "other").otherwise("e1").alias("engine"))
+    return pages.pages_left(p, read, "page_id", "e1").select("page_id")
+
+
+@query("SELECT role, count(*) FILTER (WHERE regexp_matches(text, '[?؟]') OR list_contains(" + str(tx.ASKING) + ", lower(regexp_extract(text, '[\\p{L}\\p{N}]+')))) AS questions, count(*) AS n FROM conversations GROUP BY role")
+def questions(spark, d):
+    return table(spark, d, "conversations").groupBy("role").agg(F.count_if(tx.is_question(F.col("text"))).alias("questions"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {SEG} SELECT source, count(*) AS hits FROM seg WHERE list_contains(w, 'was') AND lang IS DISTINCT FROM 'de' GROUP BY source")
+def facet_exclude(spark, d):
+    """A search without one row of a facet."""
+    row = table(spark, d, "documents").where("lang = 'de'").select("doc_id")
+    return search.totals(search.scoped(search.hits(segs(spark, d), read_sigils("was")), without=[row]))
+
+
+@query("SELECT 'note' AS kind, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS ids FROM orders WHERE o_custkey % 5 = 0 UNION ALL SELECT 'query', count(*), CAST(sum(event_id) AS BIGINT) FROM events WHERE event_id % 7 = 0")
+def layer_export(spark, d):
+    """Records of two kinds written as JSON and read again."""
+    at = graph.shared(spark, "layers")
+    notes = table(spark, d, "orders").where("o_custkey % 5 = 0").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("said"))
+    asked = table(spark, d, "events").where("event_id % 7 = 0").select(F.col("event_id").alias("id"), F.col("props").alias("said"))
+    editing.layers_out({"note": notes, "query": asked}, at)
+    return editing.layers_in(spark, at, "id bigint, said string")[0].groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' OR o_orderstatus = '1-URGENT'")
+def saved_by_tag(spark, d):
+    saved = table(spark, d, "orders").select("o_orderkey", F.array("o_orderpriority", "o_orderstatus").alias("tags"))
+    return saved.where(F.array_contains("tags", "1-URGENT")).select("o_orderkey")
+
+
+@query(f"WITH {EDGES}, c AS (SELECT DISTINCT src_work FROM e WHERE edge_type = 'comments-on' AND dst_work = 'p1'), w AS (SELECT s_nationkey % 5 AS a, s_nationkey AS b FROM c JOIN supplier ON 's' || s_suppkey = src_work) SELECT 'a' || a AS shelf, 1 AS depth, count(*) AS works FROM w GROUP BY a UNION ALL SELECT 'a' || a || '/' || b, 2, count(*) FROM w GROUP BY a, b")
+def commentator_folders(spark, d):
+    works = table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("work"), F.concat(F.lit("a"), F.col("s_nationkey") % 5, F.lit("/"), "s_nationkey").alias("shelf"))
+    return editing.folders(edges(spark, d), "p1", works)
+
+
+@query(f"WITH {EDGES}, n AS (SELECT src_work AS work, count(*) AS n FROM e WHERE dst_work = 'p3' GROUP BY 1), c AS (SELECT 's' || s_suppkey AS work FROM supplier WHERE s_suppkey % 6 = 0), b AS (SELECT coalesce(n.work, c.work) AS work, c.work IS NOT NULL AS declared, coalesce(n, 0) AS n FROM n FULL JOIN c ON n.work = c.work) SELECT work, declared, n, CAST(row_number() OVER (ORDER BY declared DESC, n DESC, work) AS INT) AS place FROM b ORDER BY place LIMIT 50")
+def companions_listed(spark, d):
+    n = edges(spark, d).where("dst_work = 'p3'").groupBy(F.col("src_work").alias("work")).agg(F.count(F.lit(1)).alias("n"))
+    declared = table(spark, d, "supplier").where("s_suppkey % 6 = 0").select(F.concat(F.lit("s"), "s_suppkey").alias("work"))
+    return shelf.placed(editing.companions(declared, n), F.desc("declared"), F.desc("n"), F.col("work"), most=50)
+
+
+@query("SELECT s_name AS name, 'n' || s_nationkey AS origin, CASE s_suppkey % 4 WHEN 1 THEN 'CC-BY' WHEN 2 THEN 'PD' END AS licence FROM supplier")
+def library_provenance(spark, d):
+    at = graph.shared(spark, "provenance")
+    k = F.col("s_suppkey") % 4
+    table(spark, d, "supplier").select(F.col("s_name").alias("name"), F.concat(F.lit("n"), "s_nationkey").alias("origin"), F.when(k == 0, "Unknown ").when(k == 1, " CC-BY").when(k == 2, "PD").alias("licence")).write.json(at)
+    return files.library_metadata(spark, at)
+
+
+@query("SELECT n_nationkey::BIGINT AS line_index_1, n_name AS path_2, (n_nationkey * 3 + i)::BIGINT AS line_index_2, CASE WHEN i = 0 THEN 'commentary' END AS label FROM nation, (SELECT unnest([0, 1]) AS i)")
+def link_json_rows(spark, d):
+    """Links as files that are one array each, read again; the nations are a table of fixed size."""
+    at = graph.shared(spark, "links")
+    one = lambda i: F.struct(F.col("n_nationkey").cast("bigint").alias("line_index_1"), F.col("n_name").alias("path_2"), (F.col("n_nationkey") * 3 + i).alias("line_index_2"), F.lit("commentary" if i == 0 else None).cast("string").alias("Conection Type"))
+    table(spark, d, "nation").select("n_nationkey", F.to_json(F.array(one(0), one(1)), {"pretty": "true"}).alias("value")).write.partitionBy("n_nationkey").text(at)
+    return link_json(spark, f"{at}/*").select("line_index_1", "path_2", "line_index_2", F.col("Conection Type").alias("label"))
+
+
+@query("WITH p AS (SELECT p_partkey, lower(p_name) AS name, string_split(lower(p_name), ' ') AS w FROM part), x AS (SELECT p_partkey, w, unnest(range(len(w))) AS no FROM p) SELECT p_partkey, CAST(no AS INT) AS no, w[no + 1] AS word, translate(w[no + 1], 'abcdefghijklmnopqrstuvwxyz', 'zyxwvutsrqponmlkjihgfedcba') AS mirror, CAST(list_sum(list_transform(string_split(w[no + 1], ''), lambda c: ascii(c) - 96)) AS BIGINT) AS value FROM x WHERE regexp_matches(w[no + 1], '^[a-z]+$')")
+def sql_functions(spark, d):
+    """The registered functions in a statement of Spark's SQL."""
+    register(spark)
+    return spark.sql("SELECT p_partkey, no, word, foliant_mirrored(word) AS mirror, foliant_letter_value(word) AS value FROM {part} p, LATERAL foliant_words(p.p_name) WHERE word RLIKE '^[a-z]+$'", part=table(spark, d, "part"))

@@ -101,3 +101,13 @@ def located(text: Column, begin: Column, was: Column) -> Column:
     first = F.call_function("locate", was, text)
     again = F.call_function("locate", was, text, first + 1)
     return F.when(F.substring(text, begin + 1, F.length(was)) == was, begin).when((first > 0) & (again == 0), first - 1)
+
+
+# The words with which a question opens.
+ASKING = ["מה", "ומה", "מהו", "מהי", "מי", "ומי", "מיהו", "מיהי", "מתי", "למה", "מדוע", "כיצד", "איך", "האם", "היכן", "מהיכן", "איפה", "לאן", "כמה", "מנין", "מניין", "מאין", "what", "who", "when", "why", "how"]
+
+
+def is_question(text: Column) -> Column:
+    """Whether a text has a question mark or opens with a word that asks; null is none."""
+    first = F.lower(F.regexp_extract(text, f"({WORD})", 1))
+    return F.coalesce(text.rlike("[?؟]") | first.isin(*ASKING), F.lit(False))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -104,3 +104,27 @@ def exported(rows: DataFrame, path: str, by: str) -> DataFrame:
     kept.repartitionByRange(by, "ord").sortWithinPartitions(by, "ord").select(by, "text").write.partitionBy(by).text(path)
     blank = F.coalesce(F.length(F.trim("text")) > 0, F.lit(False))
     return rows.groupBy(by).agg(F.count_if(blank).alias("lines"), F.sum("applied").cast("bigint").alias("applied"), F.sum("stale").cast("bigint").alias("stale"))
+
+
+def companions(declared: DataFrame, found: DataFrame) -> DataFrame:
+    """(work, declared, n) of the works that go with one: those that its catalogue declares (work) and those that links show (work, n), in one list; ``shelf.placed`` by declared, n and work gives its order."""
+    both = declared.select("work", F.lit(True).alias("_d")).distinct().join(found.groupBy("work").agg(F.sum("n").alias("n")), "work", "full")
+    return both.select("work", F.coalesce("_d", F.lit(False)).alias("declared"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+
+
+def folders(edges: DataFrame, base: str, works: DataFrame) -> DataFrame:
+    """(shelf, depth, works): the commentators on a work by the shelves (work, shelf) on which they stand; those on no shelf are in no folder."""
+    on = edges.where((F.col("edge_type") == "comments-on") & (F.col("dst_work") == base)).select(F.col("src_work").alias("work")).distinct()
+    return tree(on.join(works, "work"), F.col("shelf"))
+
+
+def layers_out(kinds: dict[str, DataFrame], path: str) -> None:
+    """Writes one's own records of each kind as JSON, a folder a kind; a kind without records has none."""
+    for kind, rows in kinds.items():
+        rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.text(f"{path}/kind={kind}")
+
+
+def layers_in(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(records by kind, lines that are none) of what ``layers_out`` wrote."""
+    lines = spark.read.schema("value string, kind string").text(path).withColumn("r", F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}))
+    return lines.where("r._bad IS NULL").select("kind", "r.*").drop("_bad"), lines.where("r._bad IS NOT NULL").select("kind", "value")

@@ -103,3 +103,9 @@ def stamp(segments: DataFrame, edges: DataFrame, version: int, built: int | None
     """(works, segments, link_types, state), one row: what a build holds, and whether an index of version ``built`` can be read: none, rebuild or current."""
     held = segments.agg(F.count_distinct("work").alias("works"), F.count(F.lit(1)).alias("segments")).crossJoin(edges.agg(F.count_distinct("edge_type").alias("link_types")))  # one row each
     return held.withColumn("state", F.lit("none" if built is None else "current" if built == version else "rebuild"))
+
+
+def library_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """(name, origin, licence) of libraries; a licence that is not known is null, never a guess."""
+    rows = spark.read.schema("name string, origin string, licence string").json(path)
+    return rows.withColumn("licence", F.when(~F.lower(F.trim("licence")).isin("", "unknown"), F.trim("licence")))

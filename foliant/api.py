@@ -60,8 +60,8 @@ class Library:
         """Writes the index that ``search_built`` reads."""
         index.write(self.segments, path, batch)
 
-    def search_built(self, typed: str, path: str) -> DataFrame:
-        return index.search(self.segments.sparkSession, path, read_sigils(typed))
+    def search_built(self, typed: str, path: str, broad: bool = False) -> DataFrame:
+        return index.search(self.segments.sparkSession, path, read_sigils(typed), broad=broad)
 
     def suggest(self, typed: str, title: str = "title") -> DataFrame:
         return shelf.suggestions(self._need("works"), title, typed)

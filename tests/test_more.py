@@ -44,6 +44,23 @@ def test_a_search_that_takes_too_many_words_is_refused(spark, lines, tmp_path, m
         index.search(spark, str(tmp_path), read_sigils("*l*"), 4)
 
 
+@pytest.mark.parametrize("typed", ["*l*", "/.*e.*/ /wall?s?/", "*o* *zz*", "~tn"])
+def test_a_broad_search_finds_all_that_a_scan_finds(spark, lines, tmp_path, monkeypatch, typed):
+    index.write(lines, str(tmp_path), "0", 4)
+    monkeypatch.setattr(index, "MOST_TERMS", 1)
+    plan, names = read_sigils(typed), lambda rows: sorted((r.doc_id, r.line_no) for r in rows.collect())
+    assert names(index.search(spark, str(tmp_path), plan, 4, broad=True)) == names(search.hits(lines, plan))
+
+
+def test_index_contains_is_not_refused(spark, monkeypatch):
+    from foliant.more_queries import index_contains
+    from foliant.queries import search_contains
+
+    at = "/root/testdata/sf0.001"
+    monkeypatch.setattr(index, "MOST_TERMS", 1)
+    assert sorted(map(tuple, index_contains(spark, at).collect())) == sorted(map(tuple, search_contains(spark, at).collect()))
+
+
 def test_freshness_without_an_index_is_its_own_state(spark):
     notes = spark.createDataFrame([(datetime.datetime(2024, 1, 2),)], "at timestamp")
     assert index.freshness(notes, "at", None).head().state == "no index"

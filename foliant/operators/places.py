@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .graph import cut
+
 
 def prefixes(address: Column) -> Column:
     """All leading parts of an address whose levels a colon parts, the address included."""
@@ -44,6 +46,30 @@ def touching(ends: DataFrame, spans: DataFrame, bucket: int = 256) -> DataFrame:
     return both.where(F.col("b") == F.floor(F.greatest("from_ord", "lo") / bucket)).select("asked", "edge_no")
 
 
+def touching_counts(ends: DataFrame, spans: DataFrame, bucket: int = 256) -> DataFrame:
+    """(asked, n): how many edge ends ``touching`` gives each span that it gives any, without making the pairs. Of the ends of a work, those that begin by a span's end less those that end before it
+    begins overlap it; both are running sums over the ordinals that occur, within a bucket of them and over the buckets before. What runs backwards (an end or a span) is joined as ``touching`` does."""
+    e = ends.where("work IS NOT NULL AND from_ord IS NOT NULL").groupBy("work", "from_ord", F.coalesce("to_ord", "from_ord").alias("to_ord")).agg(F.count(F.lit(1)).alias("edge_no"))
+    e = cut(e, "touching-ends")
+    s = spans.where("lo <= hi")
+    # One row for either side of an end and of a span: what begins there, what ends there.
+    sides = lambda *of: F.explode(F.array(*(F.struct(F.col(o).cast("long").alias("ord"), F.lit(k).alias("side")) for k, o in enumerate(of)))).alias("at")
+    asked = s.select("asked", "work", sides("hi", "lo")).select("asked", "work", "at.*")
+    marks = e.where("from_ord <= to_ord").select("work", "edge_no", sides("from_ord", "to_ord")).select("work", "at.ord", *(F.when(F.col("at.side") == k, F.col("edge_no")).otherwise(0).alias(n) for k, n in enumerate(("begun", "over"))))
+    marks = marks.unionByName(asked.select("work", "ord", F.lit(0).cast("long").alias("begun"), F.lit(0).cast("long").alias("over")))
+    marks = marks.groupBy("work", "ord").agg(F.sum("begun").alias("begun"), F.sum("over").alias("over")).withColumn("b", F.floor(F.col("ord") / bucket))
+    within, before = Window.partitionBy("work", "b").orderBy("ord"), Window.partitionBy("work").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    here = marks.select("work", "ord", "b", F.sum("begun").over(within).alias("begun"), (F.sum("over").over(within) - F.col("over")).alias("over"))
+    by_bucket = marks.groupBy("work", "b").agg(F.sum("begun").alias("begun"), F.sum("over").alias("over"))
+    by_bucket = by_bucket.select("work", "b", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("begun", "over")))
+    sums = here.join(by_bucket, ["work", "b"]).select("work", "ord", (F.col("begun") + F.col("begun_before")).alias("begun"), (F.col("over") + F.col("over_before")).alias("over"))
+    out = asked.join(sums, ["work", "ord"]).select("asked", F.when(F.col("side") == 0, F.col("begun")).otherwise(-F.col("over")).alias("n"))
+    for those, of in ((e.where("from_ord > to_ord"), spans), (e.where("from_ord <= to_ord"), spans.where("lo > hi"))):
+        if not those.isEmpty() and not of.isEmpty():
+            out = out.unionByName(touching(those, of, bucket).select("asked", F.col("edge_no").alias("n")))
+    return out.groupBy("asked").agg(F.sum("n").alias("n")).where("n > 0")
+
+
 def contents(segments: DataFrame, work: str, order: str, section: str) -> DataFrame:
     """(work, order, section): where a section first begins in reading order."""
     before = F.lag(section).over(Window.partitionBy(work).orderBy(order))

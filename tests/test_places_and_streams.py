@@ -1,8 +1,10 @@
 import importlib
+import random
 import sys
 
 from pyspark.sql import functions as F
 
+from foliant import queries
 from foliant.api import Library
 from foliant.operators import places, search
 from foliant.streaming import live
@@ -25,6 +27,27 @@ def test_touching_makes_each_pair_once(spark):
         assert sorted(map(tuple, places.touching(ends, spans, bucket).collect())) == [(1, 1), (1, 2)]
 
 
+def test_touching_counts_are_those_of_the_pairs(spark):
+    """Spans and ends that repeat, run backwards, are points, null, or in another work."""
+    rng = random.Random(7)
+    at = lambda: rng.choice([None, *range(-9, 60)])
+    ends = spark.createDataFrame([(rng.choice(["v", "w", None]), at(), at(), i) for i in range(300)], "work string, from_ord int, to_ord int, edge_no int")
+    spans = spark.createDataFrame([(i // 2, rng.choice(["v", "w", "x", None]), at(), at()) for i in range(200)], "asked int, work string, lo int, hi int")
+    for bucket in (1, 4, 256):
+        pairs = places.touching(ends, spans, bucket).groupBy("asked").agg(F.count(F.lit(1)).alias("n"))
+        got = sorted(map(tuple, places.touching_counts(ends, spans, bucket).collect()))
+        assert got and got == sorted(map(tuple, pairs.collect()))
+
+
+def test_links_touching_makes_no_pairs(spark, tmp_path):
+    """40,000,000,000 pairs, counted; a link without a quantity has no end and touches nothing."""
+    li = spark.range(200_000).selectExpr("id AS l_orderkey", "CAST(140 AS BIGINT) AS l_partkey", "id AS l_suppkey", "1 AS l_linenumber", "CAST(IF(id = 0, NULL, 69) AS DOUBLE) AS l_quantity", "'A' AS l_returnflag", "'F' AS l_linestatus")
+    li.write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(200_000).selectExpr("20 * id AS p_partkey", "CAST(0 AS INT) AS p_size").write.parquet(str(tmp_path / "part.parquet"))
+    got = queries.links_touching(spark, str(tmp_path)).agg(F.count(F.lit(1)), F.min("n"), F.max("n")).head()
+    assert tuple(got) == (200_000, 199_999, 199_999)
+
+
 def test_lens_contents_marks_and_tags(spark):
     e = spark.createDataFrame([(0.9, "quotes", "A", True), (0.9, "quotes", None, False), (0.5, "references", "A", True)], "confidence double, edge_type string, era string, mine boolean")
     assert places.lens(e).count() == 3 and places.lens(e, 0.6, ["quotes"], ["A"], True).count() == 1

@@ -26,7 +26,7 @@ def spark(tmp_path_factory):
 @pytest.fixture
 def in_time(spark):
     """Ends the jobs of a test, so that it fails, after so many seconds."""
-    timer = threading.Timer(240, spark.sparkContext.cancelAllJobs)
+    timer = threading.Timer(100, spark.sparkContext.cancelAllJobs)
     timer.start()
     yield
     timer.cancel()
